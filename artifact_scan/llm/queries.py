@@ -6,17 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from artifact_scan.llm import mixing, quality, sharding, url_filters
+from artifact_scan.llm import mixing, quality, sharding, substring_dedup, url_filters
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality_rules": quality.op2_quality_rules,
     "op5_url_filters": url_filters.op5_url_filters,
     "op6_mixing": mixing.op6_mixing,
     "op7_sharding": sharding.op7_sharding,
+    "op10_substring_dedup": substring_dedup.op10_substring_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op5_url_filters": url_filters.ORACLE_SQL,
     "op6_mixing": mixing.ORACLE_SQL,
     "op7_sharding": sharding.ORACLE_SQL,
+    "op10_substring_dedup": substring_dedup.ORACLE_SQL,
 }
