@@ -104,12 +104,16 @@ def slices(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE) -> I
         at = to
 
 
-def split(column: pa.Array) -> Words:
-    data, bounds = text_buffer(column)
+def split(column: pa.Array, separators: np.ndarray = _SPACE) -> Words:
+    """The words between the bytes that ``separators`` marks."""
+    return split_bytes(*text_buffer(column), separators)
+
+
+def split_bytes(data: np.ndarray, bounds: np.ndarray, separators: np.ndarray = _SPACE) -> Words:
     if not len(data):
         none = np.zeros(0, np.int64)
         return Words(data, bounds, none, none, np.zeros(len(bounds), np.int64))
-    space = _SPACE[data]
+    space = separators[data]
     begin = ~space
     begin[1:] &= space[:-1]
     end = ~space
