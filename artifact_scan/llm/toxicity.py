@@ -23,8 +23,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from artifact_scan.llm.jaccard_join import shingle_sets, signatures
 from artifact_scan.llm.store import table
-from artifact_scan.llm.words import Words, mix, slices, span_hashes, split_bytes, text_buffer
+from artifact_scan.llm.words import Words, mix, slices, span_hashes, split, split_bytes, text_buffer
 
 MAX_LABELLED = 8_000
 MIN_STEM, MAX_STEM = 3, 12  # bytes
@@ -251,16 +252,32 @@ def fit_curve(evidence: np.ndarray, toxic: np.ndarray, penalty: float = 1e-2) ->
     return float(w[0]), float(w[1])
 
 
+def _different(texts: list[str], toxic: list[int], bands: int = 10) -> dict[str, int]:
+    """Texts that are no near copies of an earlier one: chance counts must not see a copied text as many.
+
+    Near copies are guessed from pairs of minimum hashes; a wrong guess costs a training row.
+    """
+    once: dict[str, int] = {}
+    seen: set[tuple] = set()
+    for at in range(0, len(texts), 512):
+        part = texts[at : at + 512]
+        sets, bounds = shingle_sets(split(pa.array(part, pa.large_string())))
+        rows = signatures(sets, bounds, 2 * bands).reshape(-1, bands, 2)
+        for text, label, row, size in zip(part, toxic[at : at + 512], rows.tolist(), np.diff(bounds)):
+            keys = [(i, *pair) for i, pair in enumerate(row)] if size else []
+            if size and seen.isdisjoint(keys):
+                once[text] = label
+            seen.update(keys)
+    return once
+
+
 def fit(docs: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED) -> Model:
     """A model from at most ``limit`` labelled rows; the driver gets their texts. Without labels nothing is toxic."""
     known = labels.where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     known = known.where(~held_out(F.col("doc_id"))).orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
     rows = docs.where("text is not null").join(F.broadcast(known), "doc_id").select("doc_id", "toxic", "text").toArrow()
     rows = rows.sort_by([("doc_id", "ascending"), ("text", "ascending")]).combine_chunks()
-    # Copies of one text are one observation: chance counts must not see them as many.
-    once: dict[str, int] = {}
-    for text, label in zip(rows.column("text").to_pylist(), rows.column("toxic").to_pylist()):
-        once.setdefault(text, label)
+    once = _different(rows.column("text").to_pylist(), rows.column("toxic").to_pylist())
     toxic = np.array(list(once.values()), np.int64)
     if not len(toxic) or toxic.min() == toxic.max():
         return Model({}, -4.0, 0.0)
