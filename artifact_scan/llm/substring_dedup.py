@@ -33,7 +33,7 @@ from artifact_scan.llm.store import table, written
 from artifact_scan.llm.words import Words, covered, inside, mix, run_hashes, slices, split, word_hashes
 
 WINDOW, ANCHOR = 50, 25
-ROWS, LOG_CELLS, LOG_SHARD = 2, 26, 17
+ROWS, LOG_CELLS, LOG_SHARD = 2, 27, 17
 EMPTY = hashlib.sha256(b"").hexdigest()
 _FLUSH = 1 << 19
 
