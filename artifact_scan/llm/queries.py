@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from artifact_scan.llm import jaccard_join, mixing, quality, sharding, substring_dedup, toxicity, url_filters
+from artifact_scan.llm import decontamination, jaccard_join, mixing, quality, sharding, substring_dedup, toxicity, url_filters
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_decontamination": decontamination.op1_decontamination,
     "op2_quality_rules": quality.op2_quality_rules,
     "op3_toxicity": toxicity.op3_toxicity,
     "op5_url_filters": url_filters.op5_url_filters,
