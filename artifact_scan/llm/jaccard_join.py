@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from artifact_scan.llm.components import components
 from artifact_scan.llm.groups import forest, grouped
-from artifact_scan.llm.store import table, written
+from artifact_scan.llm.store import maybe_among, table, written
 from artifact_scan.llm.words import Words, inside, mix, run_hashes, slices, split, word_hashes
 
 SHINGLE, THRESHOLD = 5, 0.8
@@ -268,7 +268,7 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, trees: int = TREES, dept
     parts = written(found.join(classes.select("class_id", "members", "n_shingles"), "class_id"), "jaccard-parts")
     blocks = parts.groupBy("root").agg(F.greatest(F.lit(1), F.ceil(F.sum("n_shingles") / SET_BLOCK)).alias("blocks"))
     parts = parts.join(blocks, "root").withColumnRenamed("class_id", "doc_id")
-    texts = docs.join(parts, "doc_id").withColumnRenamed("doc_id", "class_id").dropDuplicates(["class_id"])
+    texts = maybe_among(docs, parts.select("doc_id"), "doc_id").join(parts.hint("merge"), "doc_id").withColumnRenamed("doc_id", "class_id").dropDuplicates(["class_id"])
     verified = written(_verified(_block_pairs(_sets(texts), "blocks"), threshold), "jaccard-links")
     counts = verified.groupBy("class_id").agg(F.sum("texts").alias("texts"), F.sum("documents").alias("documents"))
     roots = components(verified.select(F.col("class_id").alias("a"), F.col("peer").alias("b"))).withColumnRenamed("node", "class_id")

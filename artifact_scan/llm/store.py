@@ -60,3 +60,20 @@ def broadcast_if_small(df: DataFrame, rows: int = 10_000) -> DataFrame:
     from pyspark.sql import functions as F
 
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+CELLS = 1 << 21
+
+
+def maybe_among(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """Rows of ``df`` whose ``key`` may occur in ``ids``: all that do, and few others while ids are few.
+
+    Keys are hashed to ``CELLS`` cells and the cells in use are broadcast, which is at most
+    ``CELLS`` numbers whatever the data.  Run before a shuffled join, it spares the shuffle rows
+    that cannot join; with very many ids it lets everything pass.
+    """
+    from pyspark.sql import functions as F
+
+    cell = F.pmod(F.xxhash64(key), F.lit(CELLS))
+    used = ids.select(cell.alias("_cell")).distinct()
+    return df.withColumn("_cell", cell).join(F.broadcast(used), "_cell", "left_semi").drop("_cell")
