@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from artifact_scan.llm.store import table, written
+from artifact_scan.llm.store import maybe_among, table, written
 from artifact_scan.llm.words import Words, covered, inside, mix, run_hashes, slices, split, word_hashes
 
 WINDOW, ANCHOR = 50, 25
@@ -298,7 +298,8 @@ def dedup(docs: DataFrame, window: int = WINDOW, texts: bool = True) -> DataFram
     spots = repeats.groupBy("doc_id", F.shiftright("at", 32).alias("tag")).agg(
         F.collect_list(F.col("at").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int")).alias("spots"), F.collect_list("more").alias("more")
     )
-    cut = _cut(docs.join(spots, "doc_id").select("doc_id", "tag", "text", "spots", "more"), window)
+    spots = written(spots, "substrings-3")
+    cut = _cut(maybe_among(docs, spots.select("doc_id"), "doc_id").join(spots.hint("merge"), "doc_id").select("doc_id", "tag", "text", "spots", "more"), window)
     cut = cut if texts else cut.drop("kept")
     cut = cut.dropDuplicates(["doc_id", "tag"])
 
