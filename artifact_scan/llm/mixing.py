@@ -32,8 +32,6 @@ BINS = 4096
 #: Quality weights of the exponential keys, by label; unlabelled documents count 1.
 GOOD, BAD = 2.0, 0.5
 
-_LEAD = r"^([\x20\x09-\x0D]*(?:[^\x20\x09-\x0D]+[\x20\x09-\x0D]+)"
-
 
 def _count(batches):
     for batch in batches:
@@ -113,9 +111,22 @@ def quality_weights(labels: DataFrame) -> DataFrame:
     return known.select("doc_id", F.when(F.col("quality") == 1, GOOD).otherwise(BAD).alias("weight"))
 
 
-def first_words(text, n):
-    """The text up to its n-th word, for n of at least 1; Java counts repetitions up to its int range."""
-    return F.regexp_extract(text, F.concat(F.lit(_LEAD + "{"), (n - 1).cast("string"), F.lit(r"}[^\x20\x09-\x0D]+)")), 1)
+def mixed(docs: DataFrame, plan: DataFrame) -> DataFrame:
+    """The documents that a plan (doc_id, size, taken) takes, with the columns of ``docs``.
+
+    A document taken whole n times stands there n times; the part of one is its first words,
+    joined by spaces, with ``n_chars``, where there is such a column, counted anew.
+    """
+    plan = plan.where("taken > 0").groupBy("doc_id").agg(F.max("size").alias("_size"), F.max("taken").alias("_taken"))
+    plan = plan.withColumn("_whole", F.floor(F.col("_taken") / F.col("_size"))).withColumn("_part", F.col("_taken") - F.col("_whole") * F.col("_size"))
+    plan = plan.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_whole") + F.when(F.col("_part") > 0, 1).otherwise(0))))
+    both = docs.join(plan, docs["doc_id"].eqNullSafe(plan["doc_id"])).drop(plan["doc_id"])
+    cut = F.col("_copy") > F.col("_whole")
+    words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    both = both.withColumn("text", F.when(cut, F.array_join(F.slice(words, 1, F.col("_part").cast("int")), " ")).otherwise(F.col("text")))
+    if "n_chars" in docs.columns:
+        both = both.withColumn("n_chars", F.when(cut, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return both.select(*docs.columns)
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

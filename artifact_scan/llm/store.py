@@ -77,3 +77,19 @@ def maybe_among(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     cell = F.pmod(F.xxhash64(key), F.lit(CELLS))
     used = ids.select(cell.alias("_cell")).distinct()
     return df.withColumn("_cell", cell).join(F.broadcast(used), "_cell", "left_semi").drop("_cell")
+
+
+def without(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """Rows of ``df`` whose ``key`` is not among ``ids``; null keys stay.
+
+    Only rows that ``maybe_among`` lets pass are shuffled.  ``ids`` should be a written table,
+    as it is read twice.
+    """
+    from pyspark.sql import functions as F
+
+    cell = F.pmod(F.xxhash64(key), F.lit(CELLS))
+    used = ids.select(cell.alias("_cell"), F.lit(True).alias("_used")).distinct()
+    marked = df.withColumn("_cell", cell).join(F.broadcast(used), "_cell", "left").drop("_cell")
+    clear = marked.where("_used is null").drop("_used").select(*df.columns)
+    rest = marked.where("_used").drop("_used").select(*df.columns)
+    return clear.unionByName(rest.join(ids.select(key).distinct().hint("merge"), key, "left_anti").select(*df.columns))
