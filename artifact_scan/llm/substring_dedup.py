@@ -22,6 +22,7 @@ every word if they are 50 words long.
 from __future__ import annotations
 
 import hashlib
+import uuid
 import zlib
 
 import numpy as np
@@ -183,15 +184,16 @@ def _merged(parts: DataFrame) -> list[bytes]:
     return [zlib.compress(m.tobytes(), 1) for m in maps]
 
 
-_BITMAPS: dict[int, list[np.ndarray]] = {}
+_BITMAPS: dict[str, list[np.ndarray]] = {}
 
 
 def _bitmaps(shared) -> list[np.ndarray]:
-    """Unpacked once for each Python worker."""
-    if id(shared) not in _BITMAPS:
+    """Unpacked once for each Python worker and sketch; workers outlive queries, so the sketch's own name is the key."""
+    name, maps = shared.value
+    if name not in _BITMAPS:
         _BITMAPS.clear()
-        _BITMAPS[id(shared)] = [np.frombuffer(zlib.decompress(m), np.uint8) for m in shared.value]
-    return _BITMAPS[id(shared)]
+        _BITMAPS[name] = [np.frombuffer(zlib.decompress(m), np.uint8) for m in maps]
+    return _BITMAPS[name]
 
 
 def _repeat_candidates(docs: DataFrame, shared, window: int) -> DataFrame:
@@ -290,7 +292,7 @@ def dedup(docs: DataFrame, window: int = WINDOW, texts: bool = True) -> DataFram
     spark = docs.sparkSession
     first = written(_first_pass(docs, window), "substrings-1")
     base = first.where("kind = 0").select("doc_id", "n_words", "sha")
-    shared = spark.sparkContext.broadcast(_merged(first.where("kind = 1").select("shard", "cells")))
+    shared = spark.sparkContext.broadcast((uuid.uuid4().hex, _merged(first.where("kind = 1").select("shard", "cells"))))
 
     found = written(_repeat_candidates(docs, shared, window), "substrings-2")
     least = found.groupBy("w", "x").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most")
