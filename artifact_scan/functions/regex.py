@@ -124,14 +124,16 @@ def matches(df: DataFrame, text: str, patterns: list[Pattern], when: dict[int, C
     found = found.withColumn("_before", before).withColumn("_piece", F.element_at("_pieces", F.col("match_ord") + 1))
     found = found.withColumn("match", F.substring_index("_piece", END, 1))
     after = F.translate(F.array_join(F.slice("_pieces", F.col("match_ord") + 1, F.size("_pieces")), ""), END, "")
-    line_text = F.concat(F.regexp_extract("_before", r"([^\n]*)\z", 1), F.regexp_extract(after, r"\A([^\n]*)", 1))
+    # Cut at the last separator, not by a pattern anchored at the end, which would try every start.
+    line_text = F.concat(F.substring_index("_before", "\n", -1), F.substring_index(after, "\n", 1))
+    clause = F.substring_index(F.translate("_before", ".;:!?", "\n\n\n\n\n"), "\n", -1)
     return found.select(
         *[c for c in df.columns if c != text],
         "rule",
         "pattern_ord",
         "match_ord",
         (F.length("_before") - F.length(F.replace("_before", F.lit("\n"))) + 1).alias("line"),
-        F.regexp_extract("_before", r"([^.;:!?\n]*)\z", 1).alias("clause"),
+        clause.alias("clause"),
         line_text.alias("line_text"),
         "match",
     )

@@ -137,7 +137,7 @@ def arguments_in_shell(rows: DataFrame) -> DataFrame:
 
 def import_tokens(rows: DataFrame) -> DataFrame:
     """(…, n, token) of ``@path`` references of (bundle_id, file, text)."""
-    found = F.regexp_extract_all("text", F.lit(to_java(IMPORT).replace("^", r"\A")), 1)
+    found = F.regexp_extract_all("text", F.lit(to_java(IMPORT)), 1)
     tokens = rows.select("bundle_id", "file", F.posexplode(found).alias("n", "token"))
     tokens = tokens.withColumn("token", F.rtrim("token", F.lit(TRAILING)))
     return tokens.where(F.col("token").contains("/") | F.col("token").contains(".") | F.startswith("token", F.lit("~")))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ast
+import re
 import shlex
 import warnings
 
@@ -41,9 +42,10 @@ def signature_columns(found: DataFrame) -> DataFrame:
 
 def pipeline_into_shell(text: str) -> str | None:
     """`downloader | … | shell` over any distance, as the commands' first words; None if there is none or it cannot be parsed."""
+    text = re.sub(r"(^|\s)#[^\n]*", r"\1", text.replace("\\\n", " "))
     try:
         lexer = shlex.shlex(text, posix=True, punctuation_chars="|;&()\n")
-        lexer.whitespace = " \t\r"
+        lexer.whitespace, lexer.commenters = " \t\r", ""
         words = list(lexer)
     except ValueError:
         return None

@@ -64,10 +64,9 @@ def advisory_matches(deps: DataFrame, advisories: DataFrame) -> DataFrame:
 def typosquats(deps: DataFrame) -> DataFrame:
     """Names one edit away from a popular name, with the least such name. The popular names are a fixed list."""
     rows = [(e, p) for e, names in POPULAR.items() for p in names]
-    popular = deps.sparkSession.createDataFrame(rows, "ecosystem string, popular string")
-    known = F.broadcast(popular.withColumnRenamed("popular", "name"))
-    odd = deps.join(known, ["ecosystem", "name"], "left_anti")
-    near = odd.join(F.broadcast(popular), (odd["ecosystem"] == popular["ecosystem"]) & (F.levenshtein("name", "popular") == 1)).drop(popular["ecosystem"])
+    popular = F.broadcast(deps.sparkSession.createDataFrame(rows, "eco string, popular string"))
+    odd = deps.join(popular, (F.col("ecosystem") == F.col("eco")) & (F.col("name") == F.col("popular")), "left_anti")
+    near = odd.join(popular, (F.col("ecosystem") == F.col("eco")) & (F.levenshtein("name", "popular") == 1))
     return near.groupBy(*deps.columns).agg(F.min("popular").alias("popular"))
 
 
