@@ -22,6 +22,7 @@ from artifact_scan.llm.words import covered, inside, mix, run_hashes, slices, sp
 
 MAX_LABELLED = 20_000
 TREES, SAMPLE, SEED = 200, 256, 7
+RESOLUTION = 0.02
 MAX_FALSE = 0.002
 MIN_WORDS, MAX_REPEAT_PERCENT, WINDOW = 10, 20, 5
 
@@ -149,6 +150,9 @@ def _expected(n: int) -> float:
 def grow(x: np.ndarray, trees: int = TREES, sample: int = SAMPLE, seed: int = SEED) -> Forest:
     rng = np.random.default_rng(seed)
     sample = min(sample, len(x))
+    # Splits may fall a little outside the values seen, which isolates what lies beyond them; rates
+    # that differ by less than RESOLUTION are not told apart reliably.
+    pad = np.maximum(0.02 * (x.max(0) - x.min(0)), RESOLUTION)
     levels = max(1, int(np.ceil(np.log2(max(2, sample)))))
     nodes = 2 ** (levels + 1)
     feature, cut = np.zeros((trees, nodes), np.int64), np.zeros((trees, nodes))
@@ -160,9 +164,6 @@ def grow(x: np.ndarray, trees: int = TREES, sample: int = SAMPLE, seed: int = SE
         while todo:
             node, rows, depth = todo.pop()
             low, high = (rows.min(0), rows.max(0)) if len(rows) else (np.zeros(x.shape[1]), np.zeros(x.shape[1]))
-            # A feature that does not vary here isolates values beyond it only; splitting a little
-            # outside its range keeps that possible.
-            pad = 0.02 * (x.max(0) - x.min(0)) + 1e-3
             if depth == levels or len(rows) <= 1:
                 length[t, node] = depth + _expected(len(rows))
                 continue
@@ -179,14 +180,14 @@ def grow(x: np.ndarray, trees: int = TREES, sample: int = SAMPLE, seed: int = SE
 def calibrate(good: np.ndarray, bad: np.ndarray, max_false: float = MAX_FALSE) -> float:
     """The threshold that rejects most of the bad scores above it and at most ``max_false`` of the good ones.
 
-    Of equal rejections it is the highest, midway to the next score below.
+    It lies just below the least of the bad scores so rejected: what no label has shown stays.
     """
     good, bad = np.sort(good), np.sort(bad)
     floor = good[min(len(good) - 1, int(np.ceil(len(good) * (1 - max_false))))]
     above = bad[bad > floor]
     if not len(above):
         return float(good[-1]) + 1e-9
-    return float((above[0] + floor) / 2)
+    return float(above[0] - 0.1 * (above[0] - floor))
 
 
 def _labelled(docs: DataFrame, labels: DataFrame, limit: int) -> DataFrame:
