@@ -9,9 +9,9 @@ the second pass.
 
 Pass 1  each task sketches its texts; the partial sketches are merged shard by shard into
         ``ROWS`` bitmaps of ``2 ** LOG_CELLS`` cells, set where two texts met.  They are the
-        only broadcast, and their size is fixed.  A sketch too small for the corpus fills up
-        and lets more windows pass, but never loses one.
-Pass 2  windows whose anchor is set in every bitmap are grouped exactly, by 96 bits of hash,
+        only broadcast, and their size is fixed.  For a corpus that would fill them, more
+        than ``MAX_LOAD`` entries a cell, the shared anchors are found by a shuffle instead.
+Pass 2  windows whose anchor is set in every bitmap, or found shared, are grouped exactly, by 96 bits of hash,
         for their least document; a join returns to each occurrence whether it is a repeat.
 Pass 3  texts with repeats are cut.
 
@@ -36,6 +36,7 @@ from artifact_scan.llm.words import Words, covered, inside, mix, run_hashes, sli
 WINDOW, ANCHOR = 50, 25
 ROWS, LOG_CELLS, LOG_SHARD = 2, 27, 17
 EMPTY = hashlib.sha256(b"").hexdigest()
+MAX_LOAD = 0.5  # entries a cell; beyond it the sketch would let too much pass
 _FLUSH = 1 << 19
 
 
@@ -196,15 +197,62 @@ def _bitmaps(shared) -> list[np.ndarray]:
     return _BITMAPS[name]
 
 
-def _repeat_candidates(docs: DataFrame, shared, window: int) -> DataFrame:
-    """(w, x, doc_id, at, more) for each document and window whose anchor two texts share.
+def _in_bitmaps(shared):
+    """Selects anchors whose cells are set in every bitmap."""
+
+    def select(part: pa.RecordBatch, keys: np.ndarray, owner: np.ndarray) -> np.ndarray:
+        hit = np.ones(len(keys), bool)
+        for row, bitmap in enumerate(_bitmaps(shared)):
+            c = _cells(keys, row)
+            hit &= (bitmap[c >> 3] >> (7 - (c & 7)).astype(np.uint8)) & 1 > 0
+        return hit
+
+    return select
+
+
+def _listed(part: pa.RecordBatch, keys: np.ndarray, owner: np.ndarray) -> np.ndarray:
+    """Selects the anchors listed in their text's row."""
+    lists = part.column("anchors").to_pylist()
+    known = np.array([a for own in lists for a in own], np.int64).view(np.uint64)
+    salt = mix(np.arange(1, len(lists) + 1, dtype=np.uint64))
+    return np.isin(mix(keys ^ salt[owner]), mix(known ^ np.repeat(salt, [len(own) for own in lists])))
+
+
+def _with_shared_anchors(docs: DataFrame, window: int) -> DataFrame:
+    """Texts with the anchors that another text has too, found exactly: the way beyond the sketch's size.
+
+    Shuffles 32 bytes for each anchor, a fourteenth of the words, and the texts that share one.
+    """
+
+    def run(batches):
+        for batch in batches:
+            for part in slices(batch):
+                words = split(part.column("text"))
+                good = np.flatnonzero(inside(words, window))
+                if not len(good):
+                    continue
+                least, doc = anchors(word_hashes(words), window, window // 2)[good], words.doc()[good]
+                new = np.ones(len(good), bool)
+                new[1:] = (least[1:] != least[:-1]) | (doc[1:] != doc[:-1])
+                key = np.frombuffer(b"".join(s[:8] for s in _texts(words)), np.int64)
+                doc = doc[new]
+                ids = part.column("doc_id").take(pa.array(doc))
+                yield pa.RecordBatch.from_arrays([ids, pa.array(key[doc]), pa.array(least[new].view(np.int64))], ["doc_id", "key", "anchor"])
+
+    every = written(docs.where("doc_id is not null").mapInArrow(run, "doc_id long, key long, anchor long"), "substrings-anchors")
+    common = every.groupBy("anchor").agg(F.min("key").alias("a"), F.max("key").alias("b")).where("a < b").select("anchor")
+    lists = written(every.join(common, "anchor").groupBy("doc_id").agg(F.collect_set("anchor").alias("anchors")), "substrings-lists")
+    return maybe_among(docs, lists.select("doc_id"), "doc_id").join(lists.hint("merge"), "doc_id").select("doc_id", "text", "anchors")
+
+
+def _repeat_candidates(docs: DataFrame, select, window: int) -> DataFrame:
+    """(w, x, doc_id, at, more) for each document and window whose anchor is selected.
 
     w, x: 96 bits of hash; at: 32 bits of the text's SHA-256, then the window's position;
     more: further positions of the same window in the text.
     """
 
     def run(batches):
-        maps = _bitmaps(shared)
         for batch in batches:
             for part in slices(batch):
                 words = split(part.column("text"))
@@ -217,12 +265,8 @@ def _repeat_candidates(docs: DataFrame, shared, window: int) -> DataFrame:
                 hashes = word_hashes(words)
                 least = anchors(hashes, window, window // 2)[where]
                 new = np.ones(len(where), bool)
-                new[1:] = least[1:] != least[:-1]
-                keys = least[new]
-                hit = np.ones(len(keys), bool)
-                for row, bitmap in enumerate(maps):
-                    c = _cells(keys, row)
-                    hit &= (bitmap[c >> 3] >> (7 - (c & 7)).astype(np.uint8)) & 1 > 0
+                new[1:] = (least[1:] != least[:-1]) | (doc[where[1:]] != doc[where[:-1]])
+                hit = select(part, least[new], doc[where[new]])
                 where = where[hit[np.cumsum(new) - 1]]
                 if not len(where):
                     continue
@@ -292,9 +336,14 @@ def dedup(docs: DataFrame, window: int = WINDOW, texts: bool = True) -> DataFram
     spark = docs.sparkSession
     first = written(_first_pass(docs, window), "substrings-1")
     base = first.where("kind = 0").select("doc_id", "n_words", "sha")
-    shared = spark.sparkContext.broadcast((uuid.uuid4().hex, _merged(first.where("kind = 1").select("shard", "cells"))))
-
-    found = written(_repeat_candidates(docs, shared, window), "substrings-2")
+    parts = first.where("kind = 1").select("shard", "cells")
+    entries = (parts.agg(F.sum(F.octet_length("cells"))).first()[0] or 0) / 12 / ROWS
+    if entries > MAX_LOAD * 2**LOG_CELLS:
+        found = _repeat_candidates(_with_shared_anchors(docs, window), _listed, window)
+    else:
+        shared = spark.sparkContext.broadcast((uuid.uuid4().hex, _merged(parts)))
+        found = _repeat_candidates(docs, _in_bitmaps(shared), window)
+    found = written(found, "substrings-2")
     least = found.groupBy("w", "x").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most")
     repeats = found.join(least.select("w", "x", "least"), ["w", "x"]).where("doc_id > least")
     spots = repeats.groupBy("doc_id", F.shiftright("at", 32).alias("tag")).agg(

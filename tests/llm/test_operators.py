@@ -99,7 +99,9 @@ def test_quality_verdicts(spark, docs):
     assert quality.fit(table, labels.where("false")) is None
 
 
-def test_substring_dedup(spark, docs):
+@pytest.mark.parametrize("load", [0.5, -1.0])
+def test_substring_dedup(spark, docs, monkeypatch, load):
+    monkeypatch.setattr(substring_dedup, "MAX_LOAD", load)  # below 0: without the sketch
     data = docs.collect()
     first = {}
     for r in data:
