@@ -10,6 +10,11 @@ subsequence of item and surrounding text says how much of the item stands there
 and the words of its last sentence, the answer, must be there too: insertions, omissions
 and replaced words do not hide a copy.
 
+The cosine alone misses copies (many items for the rank, long items against short
+passages), so a second way leads to the same checks and misses none: an item of n tokens
+that must share ``need`` of them has at least k of its n - need + k rarest ones, its
+anchors, near every passage that can pass (``Anchors``).
+
 The first pass keeps only the benchmark's terms of each text, a few per cent; document
 frequencies and the SVD read those.  The second pass reads the texts again and searches
 and verifies in place, so no text is ever shuffled.  The benchmark is read in rounds of
@@ -48,6 +53,11 @@ class Items:
     answers: list[np.ndarray]
     terms: np.ndarray  # sorted hashes
 
+    def need(self, j: int) -> int:
+        """The least number of item j's tokens that makes a share of MIN_LCS."""
+        n = len(self.tokens[j])
+        return next(c for c in range(int(MIN_LCS * n), n + 1) if c / n >= MIN_LCS)
+
     @classmethod
     def of(cls, rows: list[tuple[int, str]], common: float = COMMON) -> Items:
         rows = [(i, t) for i, t in rows if t]
@@ -79,6 +89,94 @@ class Items:
         return hit, at[hit]
 
 
+def reach_of(n: int) -> int:
+    """How many tokens before and after a passage are read with it for an item of n tokens."""
+    return max(BLOCK, n - SPAN * BLOCK + BLOCK)
+
+
+@dataclass
+class Anchors:
+    """Tokens by item without which an item cannot stand in a place, and how many must be there."""
+
+    tokens: np.ndarray  # sorted hashes
+    first: np.ndarray  # bounds of each token's postings
+    item: np.ndarray
+    weight: np.ndarray  # how often the token occurs in the item
+    least: np.ndarray  # by item
+    reach: np.ndarray  # by item
+
+    @classmethod
+    def of(cls, known: Items, df: np.ndarray) -> Anchors:
+        """The rarest tokens of each item by document frequency, words that are no terms last."""
+        hashes, items, weights, least = [], [], [], []
+        for j, own in enumerate(known.tokens):
+            values, weight = np.unique(own, return_counts=True)
+            cost = np.full(len(values), np.iinfo(np.int64).max)
+            at, term = known.lookup(values)
+            cost[at] = df[term]
+            order = np.lexsort((values, cost))
+            need = known.need(j)
+            sums = np.cumsum(weight[order])
+            n = int(np.searchsorted(sums, len(own) - need + max(1, need // 3))) + 1
+            hashes.append(values[order[:n]])
+            weights.append(weight[order[:n]])
+            items.append(np.full(n, j))
+            least.append(int(sums[n - 1]) - len(own) + need)
+        tokens, token = np.unique(np.concatenate(hashes), return_inverse=True)
+        order = np.argsort(token, kind="stable")
+        first = np.searchsorted(token[order], np.arange(len(tokens) + 1))
+        reach = np.array([reach_of(len(own)) for own in known.tokens])
+        return cls(tokens, first, np.concatenate(items)[order], np.concatenate(weights)[order], np.array(least), reach)
+
+    def places(self, words: Words, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(text, item, block) of every passage whose surroundings hold enough of an item's anchors."""
+        at = np.minimum(np.searchsorted(self.tokens, hashes), len(self.tokens) - 1)
+        hit = np.flatnonzero(self.tokens[at] == hashes)
+        lo, count = self.first[at[hit]], self.first[at[hit] + 1] - self.first[at[hit]]
+        posting = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count - lo, count)
+        item, pos = self.item[posting], np.repeat(hit, count)
+        order = np.argsort(item, kind="stable")
+        posting, item, pos = posting[order], item[order], pos[order]
+        size = len(hashes) + 1
+        key, sums = item * size + pos, np.concatenate([[0], np.cumsum(self.weight[posting])])
+        # Tokens that end a stretch, as long as is read around a passage, with enough anchors.
+        doc = np.searchsorted(words.first, pos, "right") - 1
+        around = self.reach[item]
+        begin = np.maximum(words.first[doc], pos - SPAN * BLOCK - 2 * around + 1)
+        good = sums[1:] - sums[np.searchsorted(key, item * size + begin)] >= self.least[item]
+        item, pos, doc, around = item[good], pos[good], doc[good], around[good]
+        # The passages around which those are read, each once: both ends rise with the token.
+        passages = passages_of(-(-words.counts // BLOCK))
+        base = np.concatenate([[0], np.cumsum(passages)])
+        rel = pos - words.first[doc]
+        low = np.maximum(0, (rel - SPAN * BLOCK - around) // BLOCK + 1)
+        high = np.minimum(passages[doc] - 1, (rel + around) // BLOCK)
+        low, high = (item * base[-1] + base[doc] + v for v in (low, high))
+        low[1:] = np.maximum(low[1:], high[:-1] + 1)
+        count = np.maximum(0, high - low + 1)
+        item, doc = np.repeat(item, count), np.repeat(doc, count)
+        block = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count - low, count) - item * base[-1] - base[doc]
+        begin = words.first[doc] + block * BLOCK - self.reach[item]
+        end = np.minimum(words.first[doc + 1], begin + SPAN * BLOCK + 2 * self.reach[item])
+        begin = np.maximum(words.first[doc], begin)
+        lo, hi = np.searchsorted(key, item * size + begin), np.searchsorted(key, item * size + end)
+        enough = np.flatnonzero(sums[hi] - sums[lo] >= self.least[item])
+        # Of those, the ones with enough different anchors: only the first of each in the place counts.
+        order = np.argsort(posting, kind="stable")
+        again = posting[order][1:] == posting[order][:-1]
+        before = np.full(len(posting), -1)
+        before[order[1:][again]] = order[:-1][again]
+        kept = []
+        for part in np.split(enough, range(1 << 14, len(enough), 1 << 14)):
+            count = hi[part] - lo[part]
+            owner = np.repeat(np.arange(len(part)), count)
+            at = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count - lo[part], count)
+            there = np.bincount(owner, self.weight[posting[at]] * (before[at] < lo[part][owner]), minlength=len(part))
+            kept.append(part[there >= self.least[item[part]]])
+        enough = np.concatenate(kept)
+        return doc[enough], item[enough], block[enough]
+
+
 def _answer_at(words: Words, d: int) -> int:
     """The first token of a text's last sentence; at least the last four tokens."""
     lo, hi = int(words.first[d]), int(words.first[d + 1])
@@ -238,7 +336,7 @@ def singular_basis(found: DataFrame, idf: np.ndarray, rank: int = RANK, power: i
 def _search(docs: DataFrame, items, model) -> DataFrame:
     def run(batches):
         known = items.value
-        idf, basis, queries = model.value
+        idf, basis, queries, anchors = model.value
         has = np.zeros((len(known.ids), len(idf)), np.int8)
         for j, own in enumerate(known.tokens):
             has[j, known.lookup(own)[1]] = 1
@@ -248,32 +346,40 @@ def _search(docs: DataFrame, items, model) -> DataFrame:
                 if not len(words.starts):
                     continue
                 hashes = word_hashes(words)
+                best: dict[tuple[int, int], tuple[float, int, float, float]] = {}
+                seen: set[tuple[int, int, int]] = set()
+                n = -(-words.counts // BLOCK) + SPAN - 1
+                base = np.concatenate([[0], np.cumsum(n)])
                 at, term = known.lookup(hashes)
                 used = idf[term] > 0
                 at, term = at[used], term[used]
-                if len(at) < MIN_HITS:
-                    continue
-                doc = words.doc()[at]
-                n = -(-words.counts // BLOCK) + SPAN - 1
-                base = np.concatenate([[0], np.cumsum(n)])
-                block = base[doc] + (at - words.first[doc]) // BLOCK + SPAN - 1
-                begins, _, x = _latent(block, term, int(base[-1]) + SPAN - 1, idf, basis)
-                hits = np.zeros(len(begins), np.int64)
-                for k in range(SPAN):
-                    np.add.at(hits, np.searchsorted(begins, block - k), 1)
-                length = np.linalg.norm(x, axis=1)
-                good = np.flatnonzero((hits >= MIN_HITS) & (length > 0))
-                best: dict[tuple[int, int], tuple[float, int, float, float]] = {}
-                order = np.argsort(block, kind="stable")
-                ordered = block[order], term[order]
-                for lo in range(0, len(good), 4096):
-                    rows = good[lo : lo + 4096]
-                    cosine = (x[rows] / length[rows, None]) @ queries.T
-                    near = np.nonzero(cosine >= MIN_COSINE)
-                    for i, j in zip(*(v[_shared(begins[rows[near[0]]], near[1], ordered, has) >= MIN_HITS] for v in near)):
-                        d = int(np.searchsorted(base, begins[rows[i]], "right")) - 1
-                        begin = (begins[rows[i]] - base[d] - SPAN + 1) * BLOCK
-                        _check(known, words, hashes, d, int(begin), int(j), float(cosine[i, j]), best)
+                begins, x, length = np.zeros(0, np.int64), np.zeros((0, basis.shape[1]), np.float32), np.zeros(0)
+                if len(at):
+                    doc = words.doc()[at]
+                    block = base[doc] + (at - words.first[doc]) // BLOCK + SPAN - 1
+                    begins, _, x = _latent(block, term, int(base[-1]) + SPAN - 1, idf, basis)
+                    hits = np.zeros(len(begins), np.int64)
+                    for k in range(SPAN):
+                        np.add.at(hits, np.searchsorted(begins, block - k), 1)
+                    length = np.linalg.norm(x, axis=1)
+                    good = np.flatnonzero((hits >= MIN_HITS) & (length > 0))
+                    order = np.argsort(block, kind="stable")
+                    ordered = block[order], term[order]
+                    for lo in range(0, len(good), 4096):
+                        rows = good[lo : lo + 4096]
+                        cosine = (x[rows] / length[rows, None]) @ queries.T
+                        near = np.nonzero(cosine >= MIN_COSINE)
+                        for i, j in zip(*(v[_shared(begins[rows[near[0]]], near[1], ordered, has) >= MIN_HITS] for v in near)):
+                            d = int(np.searchsorted(base, begins[rows[i]], "right")) - 1
+                            begin = (begins[rows[i]] - base[d] - SPAN + 1) * BLOCK
+                            seen.add((d, int(j), int(begin)))
+                            _check(known, words, hashes, d, int(begin), int(j), float(cosine[i, j]), best)
+                for d, j, b in zip(*(v.tolist() for v in anchors.places(words, hashes))):
+                    if (d, j, b * BLOCK) not in seen:
+                        own = base[d] + b + SPAN - 1
+                        i = int(np.searchsorted(begins, own))
+                        there = i < len(begins) and begins[i] == own and length[i] > 0
+                        _check(known, words, hashes, d, b * BLOCK, j, float(x[i] @ queries[j] / length[i]) if there else 0.0, best)
                 if best:
                     ids = part.column("doc_id").to_pylist()
                     rows_ = [(ids[d], known.ids[j], *v) for (d, j), v in best.items()]
@@ -299,7 +405,7 @@ def _check(known: Items, words: Words, hashes: np.ndarray, d: int, begin: int, j
     if have and have[2] == 1.0:
         return
     first, last = int(words.first[d]), int(words.first[d + 1])
-    reach = max(BLOCK, len(item) - SPAN * BLOCK + BLOCK)
+    reach = reach_of(len(item))
     lo, hi = max(first, first + begin - reach), min(last, first + begin + SPAN * BLOCK + reach)
     region = hashes[lo:hi]
     if np.isin(item, region).sum() < MIN_LCS * len(item):
@@ -362,7 +468,7 @@ def _round(docs: DataFrame, known: Items) -> DataFrame:
         _, term = known.lookup(own)
         queries[i] = (basis[term] * idf[term][:, None]).sum(0)
     queries /= np.maximum(np.linalg.norm(queries, axis=1), 1e-12)[:, None]
-    model = context.broadcast((idf.astype(np.float32), basis.astype(np.float32), queries.astype(np.float32)))
+    model = context.broadcast((idf.astype(np.float32), basis.astype(np.float32), queries.astype(np.float32), Anchors.of(known, df)))
     return _search(docs, items, model)
 
 

@@ -210,6 +210,38 @@ def test_decontamination(spark):
     assert decontamination.contaminated(table.where("false"), bench).count() == 0
 
 
+@pytest.mark.parametrize(("n", "words"), [(1000, 12), (40, 1000)])
+def test_decontamination_misses_no_copy(spark, n, words):
+    """Verbatim copies of many short items, and of items much longer than a passage."""
+    rng, vocab = random.Random(3), vocabulary(3, 20_000)
+    weights = [1 / (i + 2) for i in range(len(vocab))]
+    text = lambda k: " ".join(rng.choices(vocab, weights, k=k))
+    items = [(i, text(words)) for i in range(n)]
+    rows = [(i, text(40) + " " + t + " " + text(40), "s") for i, t in items] + [(n + i, text(500), "s") for i in range(200)]
+    found = decontamination.contaminated(spark.createDataFrame(rows, DOCS), spark.createDataFrame(items, "item_id long, text string"))
+    assert {r["doc_id"] for r in found.where("doc_id = item_id and lcs = 1").collect()} == set(range(n))
+
+
+def test_anchors_lead_to_every_passage_that_passes():
+    rng = random.Random(5)
+    for vocab in (vocabulary(5, 12), vocabulary(5, 150)):
+        items = [(i, " ".join(rng.choice(vocab) for _ in range(rng.choice((1, 2, 3, 7, 30, 130))))) for i in range(40)]
+        texts = [" ".join(rng.choice(vocab) for _ in range(rng.randint(0, 150))) for _ in range(10)]
+        texts += [" ".join(x for x in f"{texts[i]} {items[i][1]} {texts[-i]}".split() if rng.random() < 0.8) for i in range(10)]
+        known = decontamination.Items.of(items)
+        words = decontamination.tokens(pa.array(texts))
+        hashes = w.word_hashes(words)
+        df = np.array([rng.randint(0, 9) for _ in known.terms])
+        led = set(zip(*(v.tolist() for v in decontamination.Anchors.of(known, df).places(words, hashes))))
+        passing = set()
+        for d, n in enumerate(decontamination.passages_of(-(-words.counts // decontamination.BLOCK))):
+            for j, b in ((j, b) for j in range(len(known.ids)) for b in range(n)):
+                best = {}
+                decontamination._check(known, words, hashes, d, b * decontamination.BLOCK, j, 0.0, best)
+                passing |= {(d, j, b)} if best else set()
+        assert passing and passing <= led
+
+
 @given(st.lists(st.integers(0, 4), max_size=30), st.lists(st.integers(0, 4), min_size=1, max_size=20))
 @settings(max_examples=60, deadline=None)
 def test_lcs(region, item):
