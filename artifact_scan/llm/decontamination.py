@@ -427,14 +427,14 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, max_items: int = MAX_ITE
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     out = None
-    rest = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null and text is not null")
+    rest = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null and text is not null").distinct()
     last = None
     while True:
-        page = rest if last is None else rest.where(F.col("item_id") > last)
+        page = rest if last is None else rest.where((F.col("item_id") > last[0]) | (F.col("item_id") == last[0]) & (F.col("text") > F.lit(last[1])))
         rows = [(r["item_id"], r["text"]) for r in page.orderBy("item_id", "text").limit(max_items).collect()]
         if not rows:
             break
-        last = rows[-1][0]
+        last = rows[-1]
         known = Items.of(rows)
         if len(known.terms):
             found = _round(docs, known)

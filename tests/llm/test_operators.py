@@ -222,6 +222,16 @@ def test_decontamination_misses_no_copy(spark, n, words):
     assert {r["doc_id"] for r in found.where("doc_id = item_id and lcs = 1").collect()} == set(range(n))
 
 
+def test_decontamination_pages_repeated_items(spark):
+    """Rounds smaller than the rows of one item id."""
+    rng, vocab = random.Random(9), vocabulary(9, 3000)
+    text = lambda n: " ".join(rng.choice(vocab) for _ in range(n))
+    items = [(i // 3, text(30)) for i in range(6)]
+    rows = [(i, f"{text(40)} {t} {text(40)}", "s") for i, (_, t) in enumerate(items)]
+    found = decontamination.contaminated(spark.createDataFrame(rows, DOCS), spark.createDataFrame(items + items[:2], "item_id long, text string"), max_items=2)
+    assert {(r["doc_id"], r["item_id"]) for r in found.collect()} == {(i, i // 3) for i in range(6)}
+
+
 def test_anchors_lead_to_every_passage_that_passes():
     rng = random.Random(5)
     for vocab in (vocabulary(5, 12), vocabulary(5, 150)):
