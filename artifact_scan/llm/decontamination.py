@@ -1,7 +1,7 @@
 """Benchmark decontamination by latent semantic retrieval.
 
 Texts become overlapping passages of ``SPAN`` blocks of ``BLOCK`` tokens (lower-cased
-letter runs).  Their TF-IDF matrix A over the benchmark's terms is factored by a
+runs of letters and digits).  Their TF-IDF matrix A over the benchmark's terms is factored by a
 distributed randomised SVD: tasks add up ``A.T @ (A @ Q)`` for a thin Q, the driver
 orthonormalises the sums (terms x ``RANK`` numbers, whatever the corpus), and power steps
 sharpen them.  Passages and benchmark items are compared by cosine in the space of the
@@ -31,8 +31,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from artifact_scan.llm.store import table, written
-from artifact_scan.llm.toxicity import tokens
-from artifact_scan.llm.words import Words, slices, word_hashes
+from artifact_scan.llm.toxicity import _LETTER, lower
+from artifact_scan.llm.words import Words, slices, split_bytes, text_buffer, word_hashes
 
 BLOCK, SPAN = 16, 3
 MAX_ITEMS = 1_000
@@ -43,6 +43,15 @@ RANK, POWER, SEED = 128, 1, 11
 MIN_HITS, MIN_COSINE = 2, 0.45
 MIN_LCS, MIN_ANSWER = 0.6, 0.5
 
+_DIGIT = np.zeros(256, bool)
+_DIGIT[48:58] = True
+
+
+def tokens(column: pa.Array) -> Words:
+    """Runs of letters and digits, lower-cased."""
+    data, bounds = text_buffer(column)
+    return split_bytes(lower(data), bounds, ~(_LETTER | _DIGIT))
+
 
 @dataclass
 class Items:
@@ -51,6 +60,7 @@ class Items:
     ids: list[int]
     tokens: list[np.ndarray]
     answers: list[np.ndarray]
+    numbers: list[np.ndarray]  # tokens with a digit in the last sentence
     terms: np.ndarray  # sorted hashes
 
     def need(self, j: int) -> int:
@@ -63,7 +73,7 @@ class Items:
         rows = [(i, t) for i, t in rows if t]
         words = tokens(pa.array([t for _, t in rows], pa.large_string()))
         hashes = word_hashes(words)
-        ids, lists, answers = [], [], []
+        ids, lists, answers, numbers = [], [], [], []
         count: dict[int, int] = {}
         for d, (i, _) in enumerate(rows):
             own = hashes[words.first[d] : words.first[d + 1]]
@@ -71,7 +81,9 @@ class Items:
                 continue
             ids.append(i)
             lists.append(own)
-            answers.append(own[_answer_at(words, d) :])
+            start = _sentence_at(words, d)
+            answers.append(own[max(0, min(start, len(own) - 4)) :])
+            numbers.append(own[start:][_numeric(words, d)[start:]])
             for h in np.unique(own).tolist():
                 count[h] = count.get(h, 0) + 1
         limit = max(2, common * len(ids))
@@ -80,7 +92,7 @@ class Items:
             ranked = sorted(set(own.tolist()), key=lambda h: (count[h], h))
             rare = [h for h in ranked if count[h] <= limit]
             chosen.update(rare if len(rare) >= LEAST_TERMS else ranked[:LEAST_TERMS])
-        return cls(ids, lists, answers, np.array(sorted(chosen), np.uint64))
+        return cls(ids, lists, answers, numbers, np.array(sorted(chosen), np.uint64))
 
     def lookup(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(positions, term numbers) of the hashes that are terms."""
@@ -177,12 +189,20 @@ class Anchors:
         return doc[enough], item[enough], block[enough]
 
 
-def _answer_at(words: Words, d: int) -> int:
-    """The first token of a text's last sentence; at least the last four tokens."""
+def _sentence_at(words: Words, d: int) -> int:
+    """The first token of a text's last sentence; a point or colon between digits ends none."""
+    lo, hi = int(words.first[d]), int(words.first[d + 1])
+    data = words.data[words.bounds[d] : words.ends[hi - 1]]
+    stops = np.flatnonzero(np.isin(data[:-1], list(b".!?:\n")))
+    stops = stops[~(_DIGIT[data[np.maximum(stops - 1, 0)]] & _DIGIT[data[stops + 1]])] + words.bounds[d]
+    return int(np.searchsorted(words.starts[lo:hi], stops[-1])) if len(stops) else 0
+
+
+def _numeric(words: Words, d: int) -> np.ndarray:
+    """Which tokens of a text have a digit."""
     lo, hi = int(words.first[d]), int(words.first[d + 1])
-    stops = np.flatnonzero(np.isin(words.data[words.bounds[d] : words.ends[hi - 1]], list(b".!?:\n"))) + words.bounds[d]
-    start = int(np.searchsorted(words.starts[lo:hi], stops[-1])) if len(stops) else 0
-    return max(0, min(start, hi - lo - 4))
+    digits = np.concatenate([[0], np.cumsum(_DIGIT[words.data[words.bounds[d] : words.bounds[d + 1]]])])
+    return digits[words.ends[lo:hi] - words.bounds[d]] > digits[words.starts[lo:hi] - words.bounds[d]]
 
 
 def lcs(item: np.ndarray, region: np.ndarray) -> int:
@@ -413,6 +433,8 @@ def _check(known: Items, words: Words, hashes: np.ndarray, d: int, begin: int, j
     common = lcs(item, region)
     share = common / len(item)
     there = float(np.isin(answer, region).mean())
+    if len(known.numbers[j]):
+        there = min(there, float(np.isin(known.numbers[j], region).mean()))
     if share >= MIN_LCS and there >= MIN_ANSWER and (not have or share > have[2]):
         best[d, j] = (cosine, common, share, there)
 
@@ -421,8 +443,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, max_items: int = MAX_ITE
     """(doc_id, item_id, cosine, common, lcs, answer): each text and benchmark item that stands in it.
 
     common counts the item's tokens found in order, lcs is their share, answer the share of its
-    last sentence's tokens.  Null and empty texts and items match nothing; rows that repeat an id
-    are searched each, and repeated result rows are merged; empty tables give an empty result.
+    last sentence's tokens, or of its numbers where fewer of those are there.  An item of one token
+    stands in every text with that token.  Null texts and items, and those without letters or
+    digits, match nothing; rows that repeat an id are searched each, and repeated result rows are
+    merged; empty tables give an empty result.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))

@@ -232,6 +232,16 @@ def test_decontamination_pages_repeated_items(spark):
     assert {(r["doc_id"], r["item_id"]) for r in found.collect()} == {(i, i // 3) for i in range(6)}
 
 
+def test_decontamination_numbers_and_single_words(spark):
+    rng, vocab = random.Random(13), vocabulary(13, 3000)
+    text = lambda n: " ".join(rng.choice(vocab) for _ in range(n))
+    items = [(0, "What is 37 * 48? 1776"), (1, "zyzzyva"), (2, "314159 271828 161803"), (3, "The answer: 3.14"), (4, "+ - *")]
+    texts = ["what is 37 * 48? 1776", "what is 37 of it", "what is it", "a ZYZZYVA.", "zyzzyvas", "314159, 271828, 161803", "314159 only", "the answer: 3.14", "the answer: 2.71", "+ - *"]
+    rows = [(i, f"{text(40)} {t} {text(40)}", "s") for i, t in enumerate(texts)]
+    found = decontamination.contaminated(spark.createDataFrame(rows, DOCS), spark.createDataFrame(items, "item_id long, text string"))
+    assert {(r["doc_id"], r["item_id"]) for r in found.collect()} == {(0, 0), (3, 1), (5, 2), (7, 3)}
+
+
 def test_anchors_lead_to_every_passage_that_passes():
     rng = random.Random(5)
     for vocab in (vocabulary(5, 12), vocabulary(5, 150)):
