@@ -85,6 +85,27 @@ def signatures(values: np.ndarray, bounds: np.ndarray, size: int) -> np.ndarray:
     return out
 
 
+def _prints(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Two fingerprints of each set; an empty set's are 0."""
+    n, full = np.diff(bounds), np.flatnonzero(np.diff(bounds))
+    prints = np.zeros((2, len(n)), np.uint64)
+    for i in (0, 1):
+        if len(full):
+            prints[i, full] = np.add.reduceat(mix(values ^ _U(0x9D39247E33776D41 * (i + 1) & 0xFFFFFFFFFFFFFFFF)), bounds[:-1][full])
+    return prints.view(np.int64)
+
+
+def printed(docs: DataFrame) -> DataFrame:
+    """``docs`` with the first fingerprint of each text's set as ``print``."""
+
+    def run(batches):
+        for batch in batches:
+            for part in slices(batch):
+                yield part.append_column("print", pa.array(_prints(*shingle_sets(split(part.column("text"))))[0]))
+
+    return docs.mapInArrow(run, docs.select("*").schema.add("print", "long"))
+
+
 def _sketch(docs: DataFrame, size: int) -> DataFrame:
     """(doc_id, n_shingles, f1, f2, signature); f1 and f2 identify the set."""
 
@@ -92,15 +113,11 @@ def _sketch(docs: DataFrame, size: int) -> DataFrame:
         for batch in batches:
             for part in slices(batch):
                 values, bounds = shingle_sets(split(part.column("text")))
-                n, full = np.diff(bounds), np.flatnonzero(np.diff(bounds))
-                prints = np.zeros((2, len(n)), np.uint64)
-                for i in (0, 1):
-                    if len(full):
-                        prints[i, full] = np.add.reduceat(mix(values ^ _U(0x9D39247E33776D41 * (i + 1) & 0xFFFFFFFFFFFFFFFF)), bounds[:-1][full])
+                n, prints = np.diff(bounds), _prints(values, bounds)
                 rows = signatures(values, bounds, size)
                 packed = pa.array([r.tobytes() for r in rows], pa.binary())
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array(n.astype(np.int64)), pa.array(prints[0].view(np.int64)), pa.array(prints[1].view(np.int64)), packed],
+                    [part.column("doc_id"), pa.array(n.astype(np.int64)), pa.array(prints[0]), pa.array(prints[1]), packed],
                     ["doc_id", "n_shingles", "f1", "f2", "signature"],
                 )
 
@@ -245,17 +262,26 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, trees: int = TREES, dept
     class_id is the least id reached over links, copy_id the least id with an equal set;
     n_links counts the other documents linked to this one, copies included, n_linked_texts the
     linked classes.  Documents without words, or of null id, link to nothing and keep their own
-    id.  Rows that repeat an id with the same words count as copies; an empty table gives none.
+    id.  Rows that repeat an id with the same words count as copies, with other words as documents
+    of their own; an empty table gives none.
+    """
+    return linked(docs, threshold, trees, depth, recall).drop("print", "group")
+
+
+def linked(docs: DataFrame, threshold: float = THRESHOLD, trees: int = TREES, depth: int = DEPTH, recall: float = RECALL) -> DataFrame:
+    """``join`` with the print of each row's set and of its group's; both are 0 for rows that link to nothing.
+
+    Within, a class goes by the print of its set, as an id may have several texts.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     length = prefix_length(threshold, trees, depth, recall)
     size = trees * length
     base = written(_sketch(docs, size), "jaccard-sketch")
     named = base.where("doc_id is not null and n_shingles > 0")
-    classes = named.groupBy("f1", "f2").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("members"))
-    lead = classes.select(F.col("class_id").alias("doc_id"), F.col("f1").alias("g1"), F.col("f2").alias("g2"), "members")
+    classes = named.groupBy("f1", "f2").agg(F.min("doc_id").alias("lead"), F.count("*").alias("members"))
+    lead = classes.select(F.col("lead").alias("doc_id"), F.col("f1").alias("g1"), F.col("f2").alias("g2"), "members")
     classes = named.join(lead, "doc_id").where("f1 = g1 and f2 = g2").dropDuplicates(["doc_id", "f1", "f2"])
-    classes = written(classes.select(F.col("doc_id").alias("class_id"), "f1", "f2", "members", "n_shingles", "signature"), "jaccard-classes")
+    classes = written(classes.select(F.col("f1").alias("class_id"), F.col("doc_id").alias("lead"), "f1", "f2", "members", "n_shingles", "signature"), "jaccard-classes")
 
     branches = written(_branches(classes, trees, length), "jaccard-branches")
     crowd = branches.groupBy("branch").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("class_id")).alias("x"), F.bit_xor(F.xxhash64("class_id", F.lit(1))).alias("y")).where("n > 1")
@@ -265,27 +291,32 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, trees: int = TREES, dept
     least = int(np.floor(size * threshold - SIGMAS * np.sqrt(size * threshold * (1 - threshold))))
     found = components(_candidates(met, size, least)).withColumnRenamed("node", "class_id")
 
-    parts = written(found.join(classes.select("class_id", "members", "n_shingles"), "class_id"), "jaccard-parts")
+    parts = written(found.join(classes.select("class_id", "lead", "members", "n_shingles"), "class_id"), "jaccard-parts")
     blocks = parts.groupBy("root").agg(F.greatest(F.lit(1), F.ceil(F.sum("n_shingles") / SET_BLOCK)).alias("blocks"))
-    parts = parts.join(blocks, "root").withColumnRenamed("class_id", "doc_id")
-    texts = maybe_among(docs, parts.select("doc_id"), "doc_id").join(parts.hint("merge"), "doc_id").withColumnRenamed("doc_id", "class_id").dropDuplicates(["class_id"])
+    parts = parts.join(blocks, "root").withColumnRenamed("lead", "doc_id")
+    texts = printed(maybe_among(docs, parts.select("doc_id"), "doc_id")).withColumnRenamed("print", "class_id")
+    texts = texts.join(parts.hint("merge"), ["doc_id", "class_id"]).dropDuplicates(["doc_id", "class_id"]).drop("doc_id")
     verified = written(_verified(_block_pairs(_sets(texts), "blocks"), threshold), "jaccard-links")
     counts = verified.groupBy("class_id").agg(F.sum("texts").alias("texts"), F.sum("documents").alias("documents"))
     roots = components(verified.select(F.col("class_id").alias("a"), F.col("peer").alias("b"))).withColumnRenamed("node", "class_id")
+    roots = written(roots.join(classes.select("class_id", "lead"), "class_id"), "jaccard-roots")
+    roots = roots.drop("lead").join(roots.groupBy("root").agg(F.min("lead").alias("least")), "root")
 
-    told = classes.select("class_id", "f1", "f2", "members").join(counts, "class_id", "left").join(roots, "class_id", "left")
-    told = told.withColumnRenamed("class_id", "copy_id")
+    told = classes.select("class_id", "lead", "f1", "f2", "members").join(counts, "class_id", "left").join(roots, "class_id", "left")
+    told = told.drop("class_id").withColumnRenamed("lead", "copy_id")
     key = base.select("doc_id", "n_shingles", "f1", "f2")
     some, none = F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0), F.lit(0).cast("long")
-    linked = key.where(some).join(told, ["f1", "f2"]).select(
+    tied = key.where(some).join(told, ["f1", "f2"]).select(
         "doc_id",
-        F.coalesce("root", "copy_id").alias("class_id"),
+        F.coalesce("least", "copy_id").alias("class_id"),
         "copy_id",
         (F.col("members") - 1 + F.coalesce("documents", none)).alias("n_links"),
         F.coalesce("texts", none).alias("n_linked_texts"),
+        F.col("f1").alias("print"),
+        F.coalesce("root", "f1").alias("group"),
     )
-    alone = key.where(~some).select("doc_id", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("copy_id"), none.alias("n_links"), none.alias("n_linked_texts"))
-    return linked.unionByName(alone)
+    alone = key.where(~some).select("doc_id", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("copy_id"), none.alias("n_links"), none.alias("n_linked_texts"), none.alias("print"), none.alias("group"))
+    return tied.unionByName(alone)
 
 
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

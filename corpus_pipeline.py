@@ -24,13 +24,17 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one with the least id, once; null ids stay."""
-    found = written(jaccard_join.join(docs).select("doc_id", "class_id"), "stage-classes")
+    """Of each group of linked documents the one with the least id, once; null ids stay.
+
+    Rows that share an id are told apart by the prints of their texts.
+    """
+    found = written(jaccard_join.linked(docs).where("doc_id is not null").select("doc_id", "class_id", "print", "group"), "stage-classes")
     copies = found.where("doc_id <> class_id").select("doc_id").distinct()
-    repeated = found.where("doc_id = class_id").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
-    repeated = written(repeated, "stage-repeated")
-    kept = without(docs, written(copies.unionByName(repeated), "stage-dropped"), "doc_id")
-    once = maybe_among(docs, repeated, "doc_id").join(repeated.hint("merge"), "doc_id").dropDuplicates(["doc_id"])
+    repeated = written(found.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), "stage-repeated")
+    kept = without(docs, written(copies.unionByName(repeated).distinct(), "stage-dropped"), "doc_id")
+    first = maybe_among(found.where("doc_id = class_id"), repeated, "doc_id").groupBy("doc_id", "group").agg(F.min("print").alias("print"))
+    first = first.join(repeated, "doc_id").select("doc_id", "print").distinct()
+    once = jaccard_join.printed(maybe_among(docs, repeated, "doc_id")).join(first.hint("merge"), ["doc_id", "print"]).dropDuplicates(["doc_id", "print"])
     return kept.unionByName(once.select(*docs.columns))
 
 

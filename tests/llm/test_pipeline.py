@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 from test_operators import WORD, brute_links, vocabulary
 
-from artifact_scan.llm import sharding
+from artifact_scan.llm import jaccard_join, sharding
 
 
 @pytest.fixture(scope="module")
@@ -52,6 +52,20 @@ def test_stages(spark, tables):
         assert list(rows[0].asDict()) == ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def test_near_duplicates_of_repeated_ids(spark):
+    """Rows that share an id but not their text: each text stays unless it has a copy of its own."""
+    rng, vocab = random.Random(4), vocabulary(4, 2000)
+    a, b, c, d = (" ".join(rng.choice(vocab) for _ in range(80)) for _ in range(4))
+    rows = [(1, a), (1, b), (2, a + " tail"), (3, b + " tail"), (4, c), (4, d), (4, d), (5, ""), (5, ""), (6, a), (6, c + " tail")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = jaccard_join.join(docs).collect()
+    assert Counter((r["doc_id"], r["class_id"], r["n_links"]) for r in got) == Counter(
+        {(1, 1, 2): 1, (1, 1, 1): 1, (2, 1, 2): 1, (3, 1, 1): 1, (4, 4, 1): 3, (5, 5, 0): 2, (6, 1, 2): 1, (6, 4, 1): 1}
+    )
+    out = corpus_pipeline.near_duplicates(spark, docs, None).collect()
+    assert Counter((r["doc_id"], r["text"]) for r in out) == Counter([(1, a), (1, b), (4, c), (4, d), (5, "")])
+
+
 def test_run_agrees(spark, tables):
     first = corpus_pipeline.run(spark, tables)
     assert first.where(F.col("slot").isNull()).count() == 0 and first.count() > 0
