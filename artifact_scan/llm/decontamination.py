@@ -3,27 +3,30 @@
 Texts become overlapping passages of ``SPAN`` blocks of ``BLOCK`` tokens (lower-cased
 runs of letters and digits).  Their TF-IDF matrix A over the benchmark's terms is factored by a
 distributed randomised SVD: tasks add up ``A.T @ (A @ Q)`` for a thin Q, the driver
-orthonormalises the sums (terms x ``RANK`` numbers, whatever the corpus), and power steps
-sharpen them.  Passages and benchmark items are compared by cosine in the space of the
-leading right singular vectors.  Where a passage comes near an item, the longest common
+orthonormalises the sums (terms x ``RANK`` numbers, whatever the corpus), power steps
+sharpen them, and the last sum gives the leading right singular vectors by Nystroem's
+formula.  Passages and passages of the benchmark's items are compared by cosine in the
+space of those vectors.  Where a passage comes near an item, the longest common
 subsequence of item and surrounding text says how much of the item stands there in order,
 and the words of its last sentence, the answer, must be there too: insertions, omissions
 and replaced words do not hide a copy.
 
-The cosine alone misses copies (many items for the rank, long items against short
-passages), so a second way leads to the same checks and misses none: an item of n tokens
+The cosine alone misses copies (many items for the rank, terms too common for the
+matrix), so a second way leads to the same checks and misses none: an item of n tokens
 that must share ``need`` of them has at least k of its n - need + k rarest ones, its
-anchors, near every passage that can pass (``Anchors``).
+anchors, near every passage that can pass (``Anchors``).  Whatever led to a passage, the
+subsequence is only computed where enough of the item's tokens stand around it at all.
 
 The first pass keeps only the benchmark's terms of each text, a few per cent; document
 frequencies and the SVD read those.  The second pass reads the texts again and searches
-and verifies in place, so no text is ever shuffled.  The benchmark is read in rounds of
-``MAX_ITEMS`` items, which bounds what is broadcast.
+and verifies in place, so no text is ever shuffled.  Two scans serve ``MAX_ITEMS`` items,
+which bounds what is broadcast; a larger benchmark is read in rounds of so many.  Texts
+longer than ``LONG`` tokens are searched in overlapping pieces, which bounds memory.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -32,16 +35,17 @@ from pyspark.sql import functions as F
 
 from artifact_scan.llm.store import table, written
 from artifact_scan.llm.toxicity import _LETTER, lower
-from artifact_scan.llm.words import Words, slices, split_bytes, text_buffer, word_hashes
+from artifact_scan.llm.words import Words, one_blas_thread, slices, split_bytes, text_buffer, word_hashes
 
 BLOCK, SPAN = 16, 3
-MAX_ITEMS = 1_000
+MAX_ITEMS = 10_000
 COMMON = 0.05  # a term in more than this share of the items is a stop term,
 LEAST_TERMS = 8  # unless its item has fewer terms left
 MAX_DF = 0.002  # terms in a larger share of the passages tell little; an item's rarest stay
 RANK, POWER, SEED = 128, 1, 11
-MIN_HITS, MIN_COSINE = 2, 0.45
+MIN_COSINE = 0.45
 MIN_LCS, MIN_ANSWER = 0.6, 0.5
+SEARCH_SLICE, LONG = 1 << 19, 1 << 17  # bytes of text, and tokens of one text, searched at a time
 
 _DIGIT = np.zeros(256, bool)
 _DIGIT[48:58] = True
@@ -53,6 +57,28 @@ def tokens(column: pa.Array) -> Words:
     return split_bytes(lower(data), bounds, ~(_LETTER | _DIGIT))
 
 
+class Table:
+    """A sorted table of hashes, entered by their leading bits."""
+
+    def __init__(self, hashes: np.ndarray):
+        self.hashes = hashes
+        self.shift = np.uint64(64 - min(20, 3 + len(hashes).bit_length()))
+        self.first = np.searchsorted(hashes >> self.shift, np.arange(2 ** (64 - int(self.shift)), dtype=np.uint64)).astype(np.int32)
+        self.steps = int(np.diff(self.first, append=len(hashes)).max(initial=0))
+
+    def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(positions, indexes in the table) of the hashes that are in it."""
+        if not len(self.hashes):
+            return (np.zeros(0, np.int64),) * 2
+        at = self.first[hashes >> self.shift]
+        found = np.full(len(hashes), -1, np.int32)
+        for k in range(self.steps):
+            there = np.minimum(at + k, len(self.hashes) - 1)
+            np.copyto(found, there, where=self.hashes[there] == hashes)
+        hit = np.flatnonzero(found >= 0)
+        return hit, found[hit].astype(np.int64)
+
+
 @dataclass
 class Items:
     """Benchmark items of one round: token hashes, answers and the term table."""
@@ -62,6 +88,26 @@ class Items:
     answers: list[np.ndarray]
     numbers: list[np.ndarray]  # tokens with a digit in the last sentence
     terms: np.ndarray  # sorted hashes
+    vocabulary: np.ndarray = field(init=False)  # sorted hashes of all tokens
+    first: np.ndarray = field(init=False)  # bounds of each item's different tokens
+    token: np.ndarray = field(init=False)  # their numbers in the vocabulary
+    weight: np.ndarray = field(init=False)  # how often they occur in the item
+    needed: np.ndarray = field(init=False)
+    reach: np.ndarray = field(init=False)
+    term_table: Table = field(init=False)
+    table: Table = field(init=False)  # of the vocabulary
+    places: dict[int, dict[int, int]] = field(init=False, default_factory=dict)  # of items already checked
+
+    def __post_init__(self):
+        own = [np.unique(t, return_counts=True) for t in self.tokens]
+        none = np.zeros(0, np.uint64)
+        self.vocabulary = np.unique(np.concatenate([none, *self.tokens]))
+        self.term_table, self.table = Table(self.terms), Table(self.vocabulary)
+        self.first = np.concatenate([[0], np.cumsum([len(v) for v, _ in own])]).astype(np.int64)
+        self.token = np.searchsorted(self.vocabulary, np.concatenate([none, *(v for v, _ in own)]))
+        self.weight = np.concatenate([np.zeros(0, np.int64), *(n for _, n in own)])
+        self.needed = np.array([self.need(j) for j in range(len(self.tokens))], np.int64)
+        self.reach = np.array([reach_of(len(t)) for t in self.tokens], np.int64)
 
     def need(self, j: int) -> int:
         """The least number of item j's tokens that makes a share of MIN_LCS."""
@@ -96,9 +142,34 @@ class Items:
 
     def lookup(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(positions, term numbers) of the hashes that are terms."""
-        at = np.minimum(np.searchsorted(self.terms, hashes), len(self.terms) - 1)
-        hit = np.flatnonzero(self.terms[at] == hashes)
-        return hit, at[hit]
+        return self.term_table.find(hashes)
+
+    def enough(self, first: np.ndarray, pos: np.ndarray, token: np.ndarray, doc: np.ndarray, item: np.ndarray, block: np.ndarray) -> np.ndarray:
+        """Whether enough of the item's tokens stand around each passage (text, item, block) for the subsequence to pass.
+
+        pos, token: where the vocabulary's tokens stand in the texts, which begin at ``first``.
+        """
+        size = int(first[-1])
+        key = np.sort(token * (size + 1) + pos)
+        out = np.zeros(len(doc), bool)
+        step = max(1, (1 << 20) // max(1, int(np.diff(self.first).max(initial=1))))
+        for at in range(0, len(doc), step):
+            j = item[at : at + step]
+            lo, hi = around(first, self.reach, doc[at : at + step], j, block[at : at + step])
+            count = self.first[j + 1] - self.first[j]
+            owner = np.repeat(np.arange(len(j)), count)
+            own = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count - self.first[j], count)
+            base = self.token[own] * (size + 1)
+            found = np.minimum(np.searchsorted(key, base + lo[owner]), len(key) - 1)
+            there = (key[found] >= base + lo[owner]) & (key[found] < base + hi[owner])
+            out[at : at + step] = np.bincount(owner, self.weight[own] * there, minlength=len(j)) >= self.needed[j]
+        return out
+
+
+def around(first: np.ndarray, reach: np.ndarray, doc: np.ndarray, item: np.ndarray, block: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The tokens that are read around each passage for its item."""
+    begin = first[doc] + block * BLOCK
+    return np.maximum(first[doc], begin - reach[item]), np.minimum(first[doc + 1], begin + SPAN * BLOCK + reach[item])
 
 
 def reach_of(n: int) -> int:
@@ -110,8 +181,7 @@ def reach_of(n: int) -> int:
 class Anchors:
     """Tokens by item without which an item cannot stand in a place, and how many must be there."""
 
-    tokens: np.ndarray  # sorted hashes
-    first: np.ndarray  # bounds of each token's postings
+    first: np.ndarray  # bounds of the postings of each token of the vocabulary
     item: np.ndarray
     weight: np.ndarray  # how often the token occurs in the item
     least: np.ndarray  # by item
@@ -120,47 +190,47 @@ class Anchors:
     @classmethod
     def of(cls, known: Items, df: np.ndarray) -> Anchors:
         """The rarest tokens of each item by document frequency, words that are no terms last."""
-        hashes, items, weights, least = [], [], [], []
+        tokens_, items, weights, least = [], [], [], []
         for j, own in enumerate(known.tokens):
-            values, weight = np.unique(own, return_counts=True)
-            cost = np.full(len(values), np.iinfo(np.int64).max)
-            at, term = known.lookup(values)
+            token, weight = (x[known.first[j] : known.first[j + 1]] for x in (known.token, known.weight))
+            cost = np.full(len(token), np.iinfo(np.int64).max)
+            at, term = known.lookup(known.vocabulary[token])
             cost[at] = df[term]
-            order = np.lexsort((values, cost))
-            need = known.need(j)
+            order = np.lexsort((token, cost))
+            need = int(known.needed[j])
             sums = np.cumsum(weight[order])
             n = int(np.searchsorted(sums, len(own) - need + max(1, need // 3))) + 1
-            hashes.append(values[order[:n]])
+            tokens_.append(token[order[:n]])
             weights.append(weight[order[:n]])
             items.append(np.full(n, j))
             least.append(int(sums[n - 1]) - len(own) + need)
-        tokens, token = np.unique(np.concatenate(hashes), return_inverse=True)
+        token = np.concatenate(tokens_)
         order = np.argsort(token, kind="stable")
-        first = np.searchsorted(token[order], np.arange(len(tokens) + 1))
-        reach = np.array([reach_of(len(own)) for own in known.tokens])
-        return cls(tokens, first, np.concatenate(items)[order], np.concatenate(weights)[order], np.array(least), reach)
-
-    def places(self, words: Words, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(text, item, block) of every passage whose surroundings hold enough of an item's anchors."""
-        at = np.minimum(np.searchsorted(self.tokens, hashes), len(self.tokens) - 1)
-        hit = np.flatnonzero(self.tokens[at] == hashes)
-        lo, count = self.first[at[hit]], self.first[at[hit] + 1] - self.first[at[hit]]
+        first = np.searchsorted(token[order], np.arange(len(known.vocabulary) + 1))
+        return cls(first, np.concatenate(items)[order], np.concatenate(weights)[order], np.array(least), known.reach)
+
+    def places(self, first: np.ndarray, hit: np.ndarray, token: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(text, item, block) of every passage whose surroundings hold enough of an item's anchors.
+
+        hit, token: where the vocabulary's tokens stand in the texts, which begin at ``first``.
+        """
+        lo, count = self.first[token], self.first[token + 1] - self.first[token]
         posting = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count - lo, count)
         item, pos = self.item[posting], np.repeat(hit, count)
         order = np.argsort(item, kind="stable")
         posting, item, pos = posting[order], item[order], pos[order]
-        size = len(hashes) + 1
+        size = int(first[-1]) + 1
         key, sums = item * size + pos, np.concatenate([[0], np.cumsum(self.weight[posting])])
         # Tokens that end a stretch, as long as is read around a passage, with enough anchors.
-        doc = np.searchsorted(words.first, pos, "right") - 1
+        doc = np.searchsorted(first, pos, "right") - 1
         around = self.reach[item]
-        begin = np.maximum(words.first[doc], pos - SPAN * BLOCK - 2 * around + 1)
+        begin = np.maximum(first[doc], pos - SPAN * BLOCK - 2 * around + 1)
         good = sums[1:] - sums[np.searchsorted(key, item * size + begin)] >= self.least[item]
         item, pos, doc, around = item[good], pos[good], doc[good], around[good]
         # The passages around which those are read, each once: both ends rise with the token.
-        passages = passages_of(-(-words.counts // BLOCK))
+        passages = passages_of(-(-np.diff(first) // BLOCK))
         base = np.concatenate([[0], np.cumsum(passages)])
-        rel = pos - words.first[doc]
+        rel = pos - first[doc]
         low = np.maximum(0, (rel - SPAN * BLOCK - around) // BLOCK + 1)
         high = np.minimum(passages[doc] - 1, (rel + around) // BLOCK)
         low, high = (item * base[-1] + base[doc] + v for v in (low, high))
@@ -168,9 +238,9 @@ class Anchors:
         count = np.maximum(0, high - low + 1)
         item, doc = np.repeat(item, count), np.repeat(doc, count)
         block = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count - low, count) - item * base[-1] - base[doc]
-        begin = words.first[doc] + block * BLOCK - self.reach[item]
-        end = np.minimum(words.first[doc + 1], begin + SPAN * BLOCK + 2 * self.reach[item])
-        begin = np.maximum(words.first[doc], begin)
+        begin = first[doc] + block * BLOCK - self.reach[item]
+        end = np.minimum(first[doc + 1], begin + SPAN * BLOCK + 2 * self.reach[item])
+        begin = np.maximum(first[doc], begin)
         lo, hi = np.searchsorted(key, item * size + begin), np.searchsorted(key, item * size + end)
         enough = np.flatnonzero(sums[hi] - sums[lo] >= self.least[item])
         # Of those, the ones with enough different anchors: only the first of each in the place counts.
@@ -179,7 +249,7 @@ class Anchors:
         before = np.full(len(posting), -1)
         before[order[1:][again]] = order[:-1][again]
         kept = []
-        for part in np.split(enough, range(1 << 14, len(enough), 1 << 14)):
+        for part in np.split(enough, range(1 << 12, len(enough), 1 << 12)):
             count = hi[part] - lo[part]
             owner = np.repeat(np.arange(len(part)), count)
             at = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count - lo[part], count)
@@ -205,19 +275,24 @@ def _numeric(words: Words, d: int) -> np.ndarray:
     return digits[words.ends[lo:hi] - words.bounds[d]] > digits[words.starts[lo:hi] - words.bounds[d]]
 
 
-def lcs(item: np.ndarray, region: np.ndarray) -> int:
-    """Length of the longest common subsequence, bit-parallel over the item."""
+def places_of(item: np.ndarray) -> dict[int, int]:
+    """For each token the bits of its places in the item."""
     where: dict[int, int] = {}
     for i, h in enumerate(item.tolist()):
         where[h] = where.get(h, 0) | 1 << i
-    full = (1 << len(item)) - 1
+    return where
+
+
+def lcs(where: dict[int, int], n: int, region: list[int]) -> int:
+    """Length of the longest common subsequence of a region and an item of n tokens, bit-parallel over the item."""
+    full = (1 << n) - 1
     v = full
-    for h in region.tolist():
+    for h in region:
         m = where.get(h)
         if m:
             u = v & m
             v = ((v + u) | (v - u)) & full
-    return len(item) - v.bit_count()
+    return n - v.bit_count()
 
 
 def _terms_of(docs: DataFrame, items) -> DataFrame:
@@ -267,13 +342,15 @@ def _frequencies(found: DataFrame, n_terms: int) -> tuple[np.ndarray, int]:
 
     def run(batches):
         total, df = 0, np.zeros(n_terms, np.int64)
-        for batch in batches:
-            total += int(passages_of(batch.column("n_blocks").to_numpy()).sum())
-            block, term, _ = _unpack(batch)
-            if len(block):
-                # An occurrence in block b is in the passages that begin at b - SPAN + 1 to b.
-                pairs = (np.repeat(term, SPAN) << 32) | (block[:, None] - np.arange(SPAN)[None, :]).reshape(-1)
-                df += np.bincount(np.unique(pairs) >> 32, minlength=n_terms)
+        for part in (batch.slice(at, 1024) for batch in batches for at in range(0, batch.num_rows, 1024)):
+            total += int(passages_of(part.column("n_blocks").to_numpy()).sum())
+            block, term, _ = _unpack(part)
+            # An occurrence in block b is in the SPAN passages that begin at b - SPAN + 1 to b; those that an
+            # earlier occurrence of the term is in too are not counted again.
+            key = np.sort((term << 32) | block)
+            gap = np.full(len(key), SPAN)
+            gap[1:] = np.minimum(np.diff(key), SPAN)  # another term is further away than any block
+            df += np.bincount(key >> 32, gap, minlength=n_terms).astype(np.int64)
         some = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(some, n_terms)), pa.array(np.append(df[some], total))], ["term", "df"])
 
@@ -283,21 +360,24 @@ def _frequencies(found: DataFrame, n_terms: int) -> tuple[np.ndarray, int]:
     return out[:-1], int(out[-1])
 
 
-def _latent(block: np.ndarray, term: np.ndarray, n: int, idf: np.ndarray, basis: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Passages with a term: (begin, TF-IDF norm, projection on the basis), rows in order of their begins."""
-    order = np.argsort(block, kind="stable")
-    block, term = block[order], term[order]
-    starts = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]]))
-    own = block[starts]
-    sums = np.add.reduceat(basis[term] * idf[term][:, None], starts, axis=0)
-    square = np.add.reduceat(idf[term] ** 2, starts)
-    begins = np.unique((own[:, None] - np.arange(SPAN)[None, :]).reshape(-1))
-    x, norm = np.zeros((len(begins), basis.shape[1]), np.float32), np.zeros(len(begins))
-    for k in range(SPAN):
-        at = np.searchsorted(begins, own - k)
-        x[at] += sums
-        norm[at] += square
-    return begins, np.sqrt(norm), x
+def _window(x: np.ndarray, n: int) -> np.ndarray:
+    """The sum of each row and the ``n`` - 1 rows after it."""
+    out = x.copy()
+    for k in range(1, n):
+        out[:-k] += x[k:]
+    return out
+
+
+def _latent(block: np.ndarray, term: np.ndarray, n: int, idf: np.ndarray, basis: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(squared TF-IDF norm, projection on the basis) of the passage that begins at each of ``n`` blocks; ``block`` ascends."""
+    sums, square = np.zeros((n + SPAN, basis.shape[1]), np.float32), np.zeros(n + SPAN)
+    if len(block):
+        starts = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]]))
+        rows = basis[term]
+        rows *= idf[term][:, None]
+        sums[block[starts]] = np.add.reduceat(rows, starts, axis=0)
+        square[block[starts]] = np.add.reduceat(idf[term] ** 2, starts)
+    return _window(square, SPAN)[:n], _window(sums, SPAN)[:n]
 
 
 def _gram_times(found: DataFrame, idf: np.ndarray, q: np.ndarray) -> np.ndarray:
@@ -306,6 +386,7 @@ def _gram_times(found: DataFrame, idf: np.ndarray, q: np.ndarray) -> np.ndarray:
     shape, shards = q.shape, 32
 
     def add(batches):
+        one_blas_thread()
         idf, q = shared.value
         total = np.zeros(shape, np.float64)
         for batch in batches:
@@ -315,16 +396,14 @@ def _gram_times(found: DataFrame, idf: np.ndarray, q: np.ndarray) -> np.ndarray:
                 block, term = block[used], term[used]
                 if not len(block):
                     continue
-                begins, norm, x = _latent(block, term, n, idf, q)
-                x /= (norm**2)[:, None]
+                square, x = _latent(block, term, n, idf, q)
+                x /= np.maximum(square, 1e-30).astype(np.float32)[:, None]
                 # Back from passages to the blocks they hold, and from those to terms.
+                back = _window(x[::-1], SPAN)[::-1]
                 order = np.argsort(term, kind="stable")
-                back = np.zeros((len(term), shape[1]), np.float32)
-                for k in range(SPAN):
-                    back += x[np.searchsorted(begins, block[order] - k)]
                 starts = np.flatnonzero(np.concatenate([[True], term[order][1:] != term[order][:-1]]))
                 some = term[order][starts]
-                total[some] += np.add.reduceat(back, starts, axis=0) * idf[some][:, None]
+                total[some] += np.add.reduceat(back[block[order]], starts, axis=0) * idf[some][:, None]
         parts = np.array_split(total, shards)
         yield pa.RecordBatch.from_arrays([pa.array(range(shards), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())], ["shard", "part"])
 
@@ -341,65 +420,87 @@ def _gram_times(found: DataFrame, idf: np.ndarray, q: np.ndarray) -> np.ndarray:
     return np.concatenate([np.frombuffer(r["part"], np.float64) for r in sorted(got, key=lambda r: r["shard"])]).reshape(shape) if got else np.zeros(shape)
 
 
-def singular_basis(found: DataFrame, idf: np.ndarray, rank: int = RANK, power: int = POWER, seed: int = SEED) -> np.ndarray:
-    """The leading right singular vectors of A (terms x rank), by a randomised range finder with power steps."""
-    n = len(idf)
+def singular_basis(gram_times, n: int, rank: int = RANK, power: int = POWER, seed: int = SEED) -> np.ndarray:
+    """The leading right singular vectors of A (terms x rank); ``gram_times(q)`` is ``A.T @ (A @ q)``.
+
+    A randomised range finder with power steps; the last product serves Nystroem's formula, so
+    ``power`` + 1 products are all.
+    """
     rank = min(rank, n)
     q = np.linalg.qr(np.random.default_rng(seed).standard_normal((n, rank)))[0]
-    for _ in range(power + 1):
-        q = np.linalg.qr(_gram_times(found, idf, q))[0]
-    small = q.T @ _gram_times(found, idf, q)
+    for _ in range(power):
+        q = np.linalg.qr(gram_times(q))[0]
+    y = gram_times(q)
+    shift = 1e-9 * max(np.linalg.norm(y), 1e-30)
+    y = y + shift * q
+    small = q.T @ y
     values, vectors = np.linalg.eigh((small + small.T) / 2)
-    return q @ vectors[:, np.argsort(-values)]
+    half = vectors / np.sqrt(np.maximum(values, shift))
+    return np.linalg.svd(y @ half, full_matrices=False)[0]
+
+
+def _pieces(first: np.ndarray, reach: int):
+    """(texts, lo, hi, first) for all texts, or for overlapping pieces of a text that is too long for one step."""
+    total = int(first[-1])
+    if total <= LONG or len(first) > 2:
+        yield 0, total, first
+        return
+    overlap = -(-(2 * reach + SPAN * BLOCK) // BLOCK) * BLOCK
+    step = max(LONG // BLOCK * BLOCK, 2 * overlap)
+    for lo in range(0, max(1, total - overlap), step):
+        hi = min(total, lo + step + overlap)
+        yield lo, hi, np.array([0, hi - lo])
 
 
 def _search(docs: DataFrame, items, model) -> DataFrame:
     def run(batches):
+        one_blas_thread()
         known = items.value
-        idf, basis, queries, anchors = model.value
-        has = np.zeros((len(known.ids), len(idf)), np.int8)
-        for j, own in enumerate(known.tokens):
-            has[j, known.lookup(own)[1]] = 1
+        idf, basis, queries, owner, anchors = model.value
+        as_term = np.full(len(known.vocabulary), -1)
+        at, number = known.lookup(known.vocabulary)
+        as_term[at] = number
+        rows_at_once = max(16, (1 << 20) // max(1, len(queries)))
+        reach = int(known.reach.max(initial=0))
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, limit=SEARCH_SLICE):
                 words = tokens(part.column("text"))
                 if not len(words.starts):
                     continue
-                hashes = word_hashes(words)
+                every = word_hashes(words)
                 best: dict[tuple[int, int], tuple[float, int, float, float]] = {}
-                seen: set[tuple[int, int, int]] = set()
-                n = -(-words.counts // BLOCK) + SPAN - 1
-                base = np.concatenate([[0], np.cumsum(n)])
-                at, term = known.lookup(hashes)
-                used = idf[term] > 0
-                at, term = at[used], term[used]
-                begins, x, length = np.zeros(0, np.int64), np.zeros((0, basis.shape[1]), np.float32), np.zeros(0)
-                if len(at):
-                    doc = words.doc()[at]
-                    block = base[doc] + (at - words.first[doc]) // BLOCK + SPAN - 1
-                    begins, _, x = _latent(block, term, int(base[-1]) + SPAN - 1, idf, basis)
-                    hits = np.zeros(len(begins), np.int64)
-                    for k in range(SPAN):
-                        np.add.at(hits, np.searchsorted(begins, block - k), 1)
+                for lo, hi, first in _pieces(words.first, reach):
+                    hashes = every[lo:hi]
+                    pos, token = known.table.find(hashes)
+                    term = as_term[token]
+                    used = np.flatnonzero((term >= 0) & (idf[term] > 0))
+                    at, term = pos[used], term[used]
+                    base = np.concatenate([[0], np.cumsum(-(-np.diff(first) // BLOCK) + SPAN - 1)])
+                    doc = np.searchsorted(first, at, "right") - 1
+                    block = base[doc] + (at - first[doc]) // BLOCK + SPAN - 1
+                    _, x = _latent(block, term, int(base[-1]) + SPAN - 1, idf, basis)
                     length = np.linalg.norm(x, axis=1)
-                    good = np.flatnonzero((hits >= MIN_HITS) & (length > 0))
-                    order = np.argsort(block, kind="stable")
-                    ordered = block[order], term[order]
-                    for lo in range(0, len(good), 4096):
-                        rows = good[lo : lo + 4096]
-                        cosine = (x[rows] / length[rows, None]) @ queries.T
-                        near = np.nonzero(cosine >= MIN_COSINE)
-                        for i, j in zip(*(v[_shared(begins[rows[near[0]]], near[1], ordered, has) >= MIN_HITS] for v in near)):
-                            d = int(np.searchsorted(base, begins[rows[i]], "right")) - 1
-                            begin = (begins[rows[i]] - base[d] - SPAN + 1) * BLOCK
-                            seen.add((d, int(j), int(begin)))
-                            _check(known, words, hashes, d, int(begin), int(j), float(cosine[i, j]), best)
-                for d, j, b in zip(*(v.tolist() for v in anchors.places(words, hashes))):
-                    if (d, j, b * BLOCK) not in seen:
-                        own = base[d] + b + SPAN - 1
-                        i = int(np.searchsorted(begins, own))
-                        there = i < len(begins) and begins[i] == own and length[i] > 0
-                        _check(known, words, hashes, d, b * BLOCK, j, float(x[i] @ queries[j] / length[i]) if there else 0.0, best)
+                    full = np.flatnonzero(length > 0)
+                    found = [anchors.places(first, pos, token)]
+                    for k in range(0, len(full), rows_at_once):
+                        rows = full[k : k + rows_at_once]
+                        near = np.nonzero((x[rows] / length[rows, None]) @ queries.T >= MIN_COSINE)
+                        begin = rows[near[0]]
+                        d = np.searchsorted(base, begin, "right") - 1
+                        found.append((d, owner[near[1]], begin - base[d] - SPAN + 1))
+                    d, j, b = (np.concatenate(c).astype(np.int64) for c in zip(*found))
+                    if not len(d):
+                        continue
+                    key = np.sort((d * len(known.ids) + j) * (int(base[-1]) + SPAN) + b + SPAN)
+                    key = key[np.concatenate([[True], key[1:] != key[:-1]])]
+                    rest, b = np.divmod(key, int(base[-1]) + SPAN)
+                    (d, j), b = np.divmod(rest, len(known.ids)), b - SPAN
+                    good = known.enough(first, pos, token, d, j, b)
+                    for d_, j_, b_ in zip(d[good].tolist(), j[good].tolist(), b[good].tolist()):
+                        v = x[base[d_] + b_ + SPAN - 1]
+                        norm = np.linalg.norm(v)
+                        cosine = float((queries[owner == j_] @ v).max(initial=0.0) / norm) if norm > 0 else 0.0
+                        _check(known, first, hashes, d_, b_, j_, cosine, best)
                 if best:
                     ids = part.column("doc_id").to_pylist()
                     rows_ = [(ids[d], known.ids[j], *v) for (d, j), v in best.items()]
@@ -408,34 +509,26 @@ def _search(docs: DataFrame, items, model) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, item_id long, cosine double, common long, lcs double, answer double")
 
 
-def _shared(begins: np.ndarray, item: np.ndarray, ordered: tuple[np.ndarray, np.ndarray], has: np.ndarray) -> np.ndarray:
-    """How many term occurrences of each passage are terms of its item."""
-    block, term = ordered
-    lo, hi = np.searchsorted(block, begins), np.searchsorted(block, begins + SPAN)
-    count = hi - lo
-    at = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count - lo, count)
-    owner = np.repeat(np.arange(len(begins)), count)
-    return np.bincount(owner, has[item[owner], term[at]], minlength=len(begins))
-
-
-def _check(known: Items, words: Words, hashes: np.ndarray, d: int, begin: int, j: int, cosine: float, best: dict) -> None:
+def _check(known: Items, first: np.ndarray, hashes: np.ndarray, d: int, block: int, j: int, cosine: float, best: dict) -> None:
     """Verifies item j around a passage and keeps the best of its places in text d."""
-    item, answer = known.tokens[j], known.answers[j]
     have = best.get((d, j))
     if have and have[2] == 1.0:
         return
-    first, last = int(words.first[d]), int(words.first[d + 1])
-    reach = reach_of(len(item))
-    lo, hi = max(first, first + begin - reach), min(last, first + begin + SPAN * BLOCK + reach)
-    region = hashes[lo:hi]
-    if np.isin(item, region).sum() < MIN_LCS * len(item):
-        return
-    common = lcs(item, region)
-    share = common / len(item)
-    there = float(np.isin(answer, region).mean())
+    lo, hi = around(first, known.reach, d, j, block)
+    region = hashes[lo:hi].tolist()
+    seen = set(region)
+    share_of = lambda tokens: sum(h in seen for h in tokens.tolist()) / len(tokens)
+    there = share_of(known.answers[j])
     if len(known.numbers[j]):
-        there = min(there, float(np.isin(known.numbers[j], region).mean()))
-    if share >= MIN_LCS and there >= MIN_ANSWER and (not have or share > have[2]):
+        there = min(there, share_of(known.numbers[j]))
+    if there < MIN_ANSWER:
+        return
+    n = len(known.tokens[j])
+    if j not in known.places:
+        known.places[j] = places_of(known.tokens[j])
+    common = lcs(known.places[j], n, region)
+    share = common / n
+    if share >= MIN_LCS and (not have or share > have[2]):
         best[d, j] = (cosine, common, share, there)
 
 
@@ -486,15 +579,25 @@ def _round(docs: DataFrame, known: Items) -> DataFrame:
     found = written(_terms_of(docs, items), "terms")
     df, n = _frequencies(found, len(known.terms))
     idf = np.where(_specific(known, df, n), np.log((n + 1) / (df + 1)) + 1e-3, 0.0)
-    basis = singular_basis(found, idf)
-    queries = np.zeros((len(known.ids), basis.shape[1]))
-    for i, own in enumerate(known.tokens):
-        _, term = known.lookup(own)
-        queries[i] = (basis[term] * idf[term][:, None]).sum(0)
-    queries /= np.maximum(np.linalg.norm(queries, axis=1), 1e-12)[:, None]
-    model = context.broadcast((idf.astype(np.float32), basis.astype(np.float32), queries.astype(np.float32), Anchors.of(known, df)))
+    basis = singular_basis(lambda q: _gram_times(found, idf, q), len(idf))
+    queries, owner = _queries(known, idf, basis)
+    model = context.broadcast((idf.astype(np.float32), basis.astype(np.float32), queries.astype(np.float32), owner, Anchors.of(known, df)))
     return _search(docs, items, model)
 
 
+def _queries(known: Items, idf: np.ndarray, basis: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(unit vectors, items) of the items' passages: an item longer than a passage is cut as the texts are, at every other block."""
+    rows, owner = [], []
+    for j, own in enumerate(known.tokens):
+        for lo in range(0, max(1, len(own) - SPAN * BLOCK + 2 * BLOCK), 2 * BLOCK):
+            _, term = known.lookup(own[lo : lo + SPAN * BLOCK])
+            v = (basis[term] * idf[term][:, None]).sum(0)
+            norm = np.linalg.norm(v)
+            if norm > 0:
+                rows.append(v / norm)
+                owner.append(j)
+    return np.array(rows).reshape(-1, basis.shape[1]), np.array(owner, np.int64)
+
+
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

@@ -9,8 +9,12 @@ is the same construction over word hashes.  Nothing here looks at one word at a
 
 from __future__ import annotations
 
+import ctypes
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +27,21 @@ _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _U = np.uint64
 
 
+@lru_cache(maxsize=1)
+def one_blas_thread() -> None:
+    """Keeps matrix products in a worker to its task's core: more threads would wait for the cores of other tasks."""
+    try:
+        found = set(re.findall(r"/\S*openblas\S*", Path("/proc/self/maps").read_text()))
+    except OSError:
+        return
+    for path in found:
+        library = ctypes.CDLL(path)
+        for name in ("scipy_openblas_set_num_threads64_", "openblas_set_num_threads64_", "openblas_set_num_threads"):
+            if hasattr(library, name):
+                getattr(library, name)(1)
+                break
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective finaliser on uint64 (multiply, shift, xor)."""
     x = x ^ (x >> _U(32))
