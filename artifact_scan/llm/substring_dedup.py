@@ -3,27 +3,27 @@
 A window is 50 consecutive words.  Its key in the sketch is its anchor: the least hash of
 the 25-word runs inside it.  Equal windows have equal anchors, so a count over anchors is
 never below the count over windows, and neighbouring windows share an anchor, which makes
-the sketch's input about a fourteenth of the words.  What is counted is the number of
-different texts an anchor occurs in, up to two; exact copies of a text thus do not crowd
-the second pass.
-
-Pass 1  each task sketches its texts; the partial sketches are merged shard by shard into
-        ``ROWS`` bitmaps of ``2 ** LOG_CELLS`` cells, set where two texts met.  They are the
-        only broadcast, and their size is fixed.  For a corpus that would fill them, more
-        than ``MAX_LOAD`` entries a cell, the shared anchors are found by a shuffle instead.
-Pass 2  windows whose anchor is set in every bitmap, or found shared, are grouped exactly, by 96 bits of hash,
-        for their least document; a join returns to each occurrence whether it is a repeat.
-Pass 3  texts with repeats are cut.
+the sketch's input about a fourteenth of the words.
 
 Texts with equal word sequences need no windows: all but the one with the least id lose
-every word if they are 50 words long.
+every word if they are 50 words long.  So only one text of each sequence, the one with the
+least id, goes on, and what is counted is in how many of those an anchor occurs.
+
+Sketch  ``ROWS`` rows of counters.  A partition adds up its own counters (map-side), a shuffle
+        merges them, and counters of two or more are written; an anchor is estimated repeated
+        if its counter in every row is.  A row has ``SPACE`` counters for each anchor of the
+        corpus and only those in use are stored, so the sketch grows with the data and is
+        never gathered: anchors meet their counters in a shuffled join.  Each row counts only
+        what the row before left, of which no repeated anchor is missing, so it loses none.
+Windows windows of estimated anchors are grouped exactly, by 96 bits of hash, for their least
+        document; a join returns to each occurrence whether it is a repeat.
+Cut     texts with repeats are cut.
 """
 
 from __future__ import annotations
 
 import hashlib
-import uuid
-import zlib
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -34,10 +34,8 @@ from artifact_scan.llm.store import maybe_among, table, written
 from artifact_scan.llm.words import Words, covered, inside, mix, run_hashes, slices, split, word_hashes
 
 WINDOW, ANCHOR = 50, 25
-ROWS, LOG_CELLS, LOG_SHARD = 2, 27, 17
+ROWS, SPACE = 2, 16
 EMPTY = hashlib.sha256(b"").hexdigest()
-MAX_LOAD = 0.5  # entries a cell; beyond it the sketch would let too much pass
-_FLUSH = 1 << 19
 
 
 def anchors(hashes: np.ndarray, window: int = WINDOW, anchor: int = ANCHOR) -> np.ndarray:
@@ -52,10 +50,6 @@ def anchors(hashes: np.ndarray, window: int = WINDOW, anchor: int = ANCHOR) -> n
     return np.minimum(least[:-rest], least[rest:]) if rest else least
 
 
-def _cells(keys: np.ndarray, row: int) -> np.ndarray:
-    return (mix(keys ^ np.uint64(row + 1)) >> np.uint64(64 - LOG_CELLS)).astype(np.int64)
-
-
 def _kept_words(words: Words, d: int, keep: np.ndarray | None = None) -> bytes:
     text = words.data[words.bounds[d] : words.bounds[d + 1]].tobytes().split()
     return b" ".join(text if keep is None else [w for w, k in zip(text, keep) if k])
@@ -71,182 +65,66 @@ def _tag_of(sha: bytes) -> int:
     return int.from_bytes(sha[:4], "big") >> 1
 
 
-class _Partial:
-    """A task's sketch: (cell, text) pairs, sent shard by shard."""
-
-    def __init__(self, window: int):
-        self.window, self.cells, self.texts, self.size = window, [], [], 0
-
-    def add(self, words: Words, hashes: np.ndarray, key: np.ndarray) -> None:
-        good = np.flatnonzero(inside(words, self.window))
-        if not len(good):
-            return
-        least, doc = anchors(hashes, self.window, self.window // 2)[good], words.doc()[good]
-        new = np.ones(len(good), bool)
-        new[1:] = (least[1:] != least[:-1]) | (doc[1:] != doc[:-1])
-        self.cells.append(least[new])
-        self.texts.append(key[doc[new]])
-        self.size += int(new.sum())
-
-    def flush(self):
-        if not self.size:
-            return
-        keys, texts = np.concatenate(self.cells), np.concatenate(self.texts)
-        self.cells, self.texts, self.size = [], [], 0
-        for row in range(ROWS):
-            cells = _cells(keys, row)
-            order = np.lexsort((texts, cells))
-            c, t = cells[order], texts[order]
-            first = np.ones(len(c), bool)
-            first[1:] = (c[1:] != c[:-1]) | (t[1:] != t[:-1])
-            c, t = c[first], t[first]
-            shard = c >> LOG_SHARD
-            starts = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1]]))
-            for lo, hi in zip(starts, np.append(starts[1:], len(c))):
-                low = (c[lo:hi] & ((1 << LOG_SHARD) - 1)).astype(np.uint32)
-                yield (row << 32) | int(shard[lo]), low.tobytes() + t[lo:hi].tobytes()
-
-
-_PASS1 = "kind int, doc_id long, n_words long, sha binary, shard long, cells binary"
+def _tag(sha: str):
+    """``_tag_of`` as an expression."""
+    return F.shiftright(F.conv(F.hex(F.substring(sha, 1, 4)), 16, 10).cast("long"), 1)
+
+
+def _lists(values: np.ndarray, owner: np.ndarray, n: int) -> pa.Array:
+    """The different values of each of ``n`` owners as a list column; ``owner`` ascends."""
+    order = np.lexsort((values, owner))
+    values, owner = values[order], owner[order]
+    new = np.ones(len(values), bool)
+    new[1:] = (values[1:] != values[:-1]) | (owner[1:] != owner[:-1])
+    offsets = np.searchsorted(owner[new], np.arange(n + 1)).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values[new].view(np.int64)))
 
 
 def _first_pass(docs: DataFrame, window: int) -> DataFrame:
-    """kind 0: a row for each text; kind 1: parts of the sketch."""
+    """(doc_id, n_words, sha, anchors) of each text: its word sequence's SHA-256 and its different anchors."""
 
     def run(batches):
-        partial = _Partial(window)
-        schema = pa.schema([("kind", pa.int32()), ("doc_id", pa.int64()), ("n_words", pa.int64()), ("sha", pa.binary()), ("shard", pa.int64()), ("cells", pa.binary())])
-
-        def sent():
-            rows = list(partial.flush())
-            n = len(rows)
-            empty = [None] * n
-            for at in range(0, n, 256):
-                part = rows[at : at + 256]
-                k = len(part)
-                yield pa.RecordBatch.from_pydict({"kind": [1] * k, "doc_id": empty[:k], "n_words": empty[:k], "sha": empty[:k], "shard": [r[0] for r in part], "cells": [r[1] for r in part]}, schema)
-
         for batch in batches:
             for part in slices(batch):
                 words = split(part.column("text"))
-                shas = _texts(words)
-                n = len(shas)
-                named = part.column("doc_id").is_valid().to_numpy(zero_copy_only=False)
-                key = np.frombuffer(b"".join(s[:8] for s in shas), np.uint64)
-                if not named.all():  # a text without an id is no source and loses nothing
-                    words_named = split(pa.array([x if ok else "" for x, ok in zip(part.column("text").to_pylist(), named)], pa.string()))
-                    partial.add(words_named, word_hashes(words_named), key)
-                else:
-                    partial.add(words, word_hashes(words), key)
-                none = [None] * n
+                hashes = word_hashes(words)
+                good = np.flatnonzero(inside(words, window))
+                least, doc = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+                if len(good):
+                    least, doc = anchors(hashes, window, window // 2)[good], words.doc()[good]
+                    new = np.ones(len(good), bool)
+                    new[1:] = (least[1:] != least[:-1]) | (doc[1:] != doc[:-1])
+                    least, doc = least[new], doc[new]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([0] * n, pa.int32()), part.column("doc_id"), pa.array(words.counts, pa.int64()), pa.array(shas, pa.binary()), pa.array(none, pa.int64()), pa.array(none, pa.binary())],
-                    schema=schema,
+                    [part.column("doc_id"), pa.array(words.counts, pa.int64()), pa.array(_texts(words), pa.binary()), _lists(least, doc, part.num_rows)],
+                    ["doc_id", "n_words", "sha", "anchors"],
                 )
-                if partial.size > _FLUSH:
-                    yield from sent()
-        yield from sent()
 
-    return docs.mapInArrow(run, _PASS1)
+    return docs.mapInArrow(run, "doc_id long, n_words long, sha binary, anchors array<long>")
 
 
-def _merged(parts: DataFrame) -> list[bytes]:
-    """The bitmaps of cells in which two texts met, compressed by shard."""
-
-    def run(batches):
-        seen: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        for batch in batches:
-            for shard, raw in zip(batch.column("shard").to_pylist(), batch.column("cells").to_pylist()):
-                n = len(raw) // 12
-                low = np.frombuffer(raw, np.uint32, n).astype(np.int64)
-                texts = np.frombuffer(raw, np.uint64, n, 4 * n)
-                if shard not in seen:
-                    seen[shard] = np.zeros(1 << LOG_SHARD, np.uint64), np.zeros(1 << LOG_SHARD, bool)
-                first, twice = seen[shard]
-                again = np.zeros(n, bool)
-                again[1:] = low[1:] == low[:-1]
-                lead, mark = low[~again], np.maximum(texts[~again], np.uint64(1))
-                twice[low[again]] = True
-                have = first[lead]
-                twice[lead[(have != 0) & (have != mark)]] = True
-                first[lead] = np.where(have == 0, mark, have)
-        shards = list(seen)
-        for at in range(0, len(shards), 64):
-            part = shards[at : at + 64]
-            bits = [zlib.compress(np.packbits(seen[s][1]).tobytes(), 1) for s in part]
-            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array(bits, pa.binary())], ["shard", "bits"])
-
-    maps = [np.zeros(1 << (LOG_CELLS - 3), np.uint8) for _ in range(ROWS)]
-    each = 1 << (LOG_SHARD - 3)
-    got = parts.repartition(64, "shard").mapInArrow(run, "shard long, bits binary")
-    for r in got.toLocalIterator():  # at most ROWS * 2 ** LOG_CELLS bits in all
-        at = (r["shard"] & 0xFFFFFFFF) * each
-        maps[r["shard"] >> 32][at : at + each] = np.frombuffer(zlib.decompress(r["bits"]), np.uint8)
-    return [zlib.compress(m.tobytes(), 1) for m in maps]
-
-
-_BITMAPS: dict[str, list[np.ndarray]] = {}
-
-
-def _bitmaps(shared) -> list[np.ndarray]:
-    """Unpacked once for each Python worker and sketch; workers outlive queries, so the sketch's own name is the key."""
-    name, maps = shared.value
-    if name not in _BITMAPS:
-        _BITMAPS.clear()
-        _BITMAPS[name] = [np.frombuffer(zlib.decompress(m), np.uint8) for m in maps]
-    return _BITMAPS[name]
-
-
-def _in_bitmaps(shared):
-    """Selects anchors whose cells are set in every bitmap."""
-
-    def select(part: pa.RecordBatch, keys: np.ndarray, owner: np.ndarray) -> np.ndarray:
-        hit = np.ones(len(keys), bool)
-        for row, bitmap in enumerate(_bitmaps(shared)):
-            c = _cells(keys, row)
-            hit &= (bitmap[c >> 3] >> (7 - (c & 7)).astype(np.uint8)) & 1 > 0
-        return hit
-
-    return select
+def _estimated(sequences: DataFrame, rows: int, space: float) -> DataFrame:
+    """(doc_id, tag, anchors) of the texts with anchors that the sketch estimates to occur in two of them."""
+    total = sequences.agg(F.sum(F.size("anchors"))).first()[0] or 0
+    bits = min(63, max(4, math.ceil(math.log2(max(1, space * total)))))
+    found = sequences.select(F.col("first").alias("doc_id"), _tag("sha").alias("tag"), F.explode("anchors").alias("anchor"))
+    for row in range(rows):
+        found = found.withColumn("cell", F.shiftrightunsigned(F.xxhash64("anchor", F.lit(row)), 64 - bits))
+        counters = written(found.groupBy("cell").agg(F.count("*").alias("n")).where("n > 1").select("cell"), f"substrings-sketch-{row}")
+        found = written(found.join(counters.hint("shuffle_hash"), "cell", "left_semi").drop("cell"), f"substrings-left-{row}")
+    return found.groupBy("doc_id", "tag").agg(F.collect_list("anchor").alias("anchors"))
 
 
 def _listed(part: pa.RecordBatch, keys: np.ndarray, owner: np.ndarray) -> np.ndarray:
     """Selects the anchors listed in their text's row."""
-    lists = part.column("anchors").to_pylist()
-    known = np.array([a for own in lists for a in own], np.int64).view(np.uint64)
+    lists = part.column("anchors")
+    known = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
     salt = mix(np.arange(1, len(lists) + 1, dtype=np.uint64))
-    return np.isin(mix(keys ^ salt[owner]), mix(known ^ np.repeat(salt, [len(own) for own in lists])))
-
-
-def _with_shared_anchors(docs: DataFrame, window: int) -> DataFrame:
-    """Texts with the anchors that another text has too, found exactly: the way beyond the sketch's size.
+    return np.isin(mix(keys ^ salt[owner]), mix(known ^ np.repeat(salt, np.diff(lists.offsets.to_numpy()))))
 
-    Shuffles 32 bytes for each anchor, a fourteenth of the words, and the texts that share one.
-    """
-
-    def run(batches):
-        for batch in batches:
-            for part in slices(batch):
-                words = split(part.column("text"))
-                good = np.flatnonzero(inside(words, window))
-                if not len(good):
-                    continue
-                least, doc = anchors(word_hashes(words), window, window // 2)[good], words.doc()[good]
-                new = np.ones(len(good), bool)
-                new[1:] = (least[1:] != least[:-1]) | (doc[1:] != doc[:-1])
-                key = np.frombuffer(b"".join(s[:8] for s in _texts(words)), np.int64)
-                doc = doc[new]
-                ids = part.column("doc_id").take(pa.array(doc))
-                yield pa.RecordBatch.from_arrays([ids, pa.array(key[doc]), pa.array(least[new].view(np.int64))], ["doc_id", "key", "anchor"])
 
-    every = written(docs.where("doc_id is not null").mapInArrow(run, "doc_id long, key long, anchor long"), "substrings-anchors")
-    common = every.groupBy("anchor").agg(F.min("key").alias("a"), F.max("key").alias("b")).where("a < b").select("anchor")
-    lists = written(every.join(common, "anchor").groupBy("doc_id").agg(F.collect_set("anchor").alias("anchors")), "substrings-lists")
-    return maybe_among(docs, lists.select("doc_id"), "doc_id").join(lists.hint("merge"), "doc_id").select("doc_id", "text", "anchors")
-
-
-def _repeat_candidates(docs: DataFrame, select, window: int) -> DataFrame:
-    """(w, x, doc_id, at, more) for each document and window whose anchor is selected.
+def _windows(texts: DataFrame, window: int) -> DataFrame:
+    """(w, x, doc_id, at, more) for each (doc_id, tag, text, anchors) and window with a listed anchor.
 
     w, x: 96 bits of hash; at: 32 bits of the text's SHA-256, then the window's position;
     more: further positions of the same window in the text.
@@ -257,16 +135,16 @@ def _repeat_candidates(docs: DataFrame, select, window: int) -> DataFrame:
             for part in slices(batch):
                 words = split(part.column("text"))
                 good = inside(words, window)
-                named = part.column("doc_id").is_valid().to_numpy(zero_copy_only=False)
-                doc = words.doc()
-                where = np.flatnonzero(good & named[doc[: len(good)]]) if len(good) else np.zeros(0, np.int64)
+                doc, tags = words.doc(), part.column("tag").to_numpy()
+                meant = np.array([_tag_of(s) for s in _texts(words)], np.int64) == tags  # else another text of the same id
+                where = np.flatnonzero(good & meant[doc[: len(good)]]) if len(good) else np.zeros(0, np.int64)
                 if not len(where):
                     continue
                 hashes = word_hashes(words)
                 least = anchors(hashes, window, window // 2)[where]
                 new = np.ones(len(where), bool)
                 new[1:] = (least[1:] != least[:-1]) | (doc[where[1:]] != doc[where[:-1]])
-                hit = select(part, least[new], doc[where[new]])
+                hit = _listed(part, least[new], doc[where[new]])
                 where = where[hit[np.cumsum(new) - 1]]
                 if not len(where):
                     continue
@@ -283,13 +161,10 @@ def _repeat_candidates(docs: DataFrame, select, window: int) -> DataFrame:
                 more = [None] * len(starts)
                 for i in np.flatnonzero(ends - starts > 1):
                     more[i] = pos[starts[i] + 1 : ends[i]].tobytes()
-                ids = part.column("doc_id").to_numpy(zero_copy_only=False)
-                tags = {i: _tag_of(hashlib.sha256(_kept_words(words, i)).digest()) for i in np.unique(d[starts])}
-                tag = np.array([tags[i] for i in d[starts]], np.int64)
-                arrays = [w[starts].view(np.int64), x[starts], ids[d[starts]].astype(np.int64), (tag << 32) | pos[starts]]
+                arrays = [w[starts].view(np.int64), x[starts], part.column("doc_id").to_numpy()[d[starts]], (tags[d[starts]] << 32) | pos[starts]]
                 yield pa.RecordBatch.from_arrays([*map(pa.array, arrays), pa.array(more, pa.binary())], ["w", "x", "doc_id", "at", "more"])
 
-    return docs.mapInArrow(run, "w long, x long, doc_id long, at long, more binary")
+    return texts.mapInArrow(run, "w long, x long, doc_id long, at long, more binary")
 
 
 def _cut(texts: DataFrame, window: int) -> DataFrame:
@@ -320,44 +195,38 @@ def _cut(texts: DataFrame, window: int) -> DataFrame:
     return texts.mapInArrow(run, "doc_id long, tag long, n_removed long, kept_sha256 string, kept string")
 
 
-def _tag(sha: str):
-    """``_tag_of`` as an expression."""
-    return F.shiftright(F.conv(F.hex(F.substring(sha, 1, 4)), 16, 10).cast("long"), 1)
-
-
-def dedup(docs: DataFrame, window: int = WINDOW, texts: bool = True) -> DataFrame:
+def dedup(docs: DataFrame, window: int = WINDOW, texts: bool = True, rows: int = ROWS, space: float = SPACE) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256[, kept]), one row for each row of ``docs``.
 
     ``kept`` is null where no word goes (the text stands as it is).  Rows of null id are
     sources of nothing and lose nothing; null text counts as empty.  Rows that share an id
-    are judged each by its own text and do not remove from one another.
+    are judged each by its own text and do not remove from one another.  Other columns of
+    ``docs`` are not read.  ``rows`` and ``space`` size the sketch and do not change the result.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    spark = docs.sparkSession
     first = written(_first_pass(docs, window), "substrings-1")
-    base = first.where("kind = 0").select("doc_id", "n_words", "sha")
-    parts = first.where("kind = 1").select("shard", "cells")
-    entries = (parts.agg(F.sum(F.octet_length("cells"))).first()[0] or 0) / 12 / ROWS
-    if entries > MAX_LOAD * 2**LOG_CELLS:
-        found = _repeat_candidates(_with_shared_anchors(docs, window), _listed, window)
-    else:
-        shared = spark.sparkContext.broadcast((uuid.uuid4().hex, _merged(parts)))
-        found = _repeat_candidates(docs, _in_bitmaps(shared), window)
-    found = written(found, "substrings-2")
+    named, long = F.col("doc_id").isNotNull(), F.col("n_words") >= window
+    sequences = first.where(named & long).groupBy("sha").agg(F.min("doc_id").alias("first"), F.count("*").alias("n"), F.first("anchors").alias("anchors"))
+    sequences = written(sequences, "substrings-texts")
+    lists = written(_estimated(sequences, rows, space), "substrings-lists")
+    joined = maybe_among(docs, lists.select("doc_id"), "doc_id").join(lists.hint("merge"), "doc_id").select("doc_id", "tag", "text", "anchors")
+    found = written(_windows(joined, window), "substrings-2")
+    # Aggregates are written before they are joined: a join of plain shuffles can split a hot key.
     least = found.groupBy("w", "x").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most")
-    repeats = found.join(least.select("w", "x", "least"), ["w", "x"]).where("doc_id > least")
+    least = written(least.select("w", "x", "least"), "substrings-repeated")
+    repeats = found.join(least, ["w", "x"]).where("doc_id > least")
     spots = repeats.groupBy("doc_id", F.shiftright("at", 32).alias("tag")).agg(
         F.collect_list(F.col("at").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int")).alias("spots"), F.collect_list("more").alias("more")
     )
     spots = written(spots, "substrings-3")
     cut = _cut(maybe_among(docs, spots.select("doc_id"), "doc_id").join(spots.hint("merge"), "doc_id").select("doc_id", "tag", "text", "spots", "more"), window)
-    cut = cut if texts else cut.drop("kept")
-    cut = cut.dropDuplicates(["doc_id", "tag"])
+    cut = written((cut if texts else cut.drop("kept")).dropDuplicates(["doc_id", "tag"]), "substrings-cut")
 
-    copies = base.where("doc_id is not null").groupBy("sha").agg(F.min("doc_id").alias("first"))
-    base = base.join(copies, "sha").where("doc_id is not null").unionByName(base.where("doc_id is null"), allowMissingColumns=True)
+    base = first.select("doc_id", "n_words", "sha")
+    copies = written(sequences.where("n > 1").select("sha", "first"), "substrings-copies")
+    base = base.where(named).join(copies, "sha", "left").unionByName(base.where(~named), allowMissingColumns=True)
     all_ = base.withColumn("tag", _tag("sha")).join(cut, ["doc_id", "tag"], "left")
-    copy = (F.col("doc_id") > F.col("first")) & (F.col("n_words") >= window)
+    copy = F.coalesce(F.col("doc_id") > F.col("first"), F.lit(False)) & long
     out = [
         "doc_id",
         "n_words",
