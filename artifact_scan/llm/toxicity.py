@@ -2,21 +2,31 @@
 
 Texts are cut into letter runs (tokens) and clauses.  A lexicon tags tokens: insults are
 word stems learned from labelled rows, each with its log odds; threats, targets,
-negations and reporting words are short fixed lists.  Small transducers read the tags of
-a clause, each scaling what insults and threats weigh: a target nearby raises it, a
-negation before it or reported speech lowers it, a threat counts only towards a target.
-They are composed into one machine when the module loads, and only clauses with an insult
-or a threat are run through it.  The sum over a text's clauses, on a logarithmic scale,
-passes a logistic curve fitted on the same labelled rows.
-
-Learning uses at most ``MAX_LABELLED`` rows, those with the least hashes of their ids
-among the rows that are not held out; every text is scored whole.
+negations and reporting words are short fixed lists.  Five transducers read a clause's
+tags and mark its insults and threats:
+
+insult     an insult is matched if it stands in a clause with other words, never alone
+threat     a threat is matched if it has a target, never alone
+target     a target stands within ``REACH`` tokens before or after
+negation   a negation stands within ``REACH`` tokens before
+report     a reporting word stands anywhere in the clause
+
+They are composed into one machine that reads forwards and, as targets and reports may
+follow what they concern, one that reads backwards; a match has the marks of both.  All
+clauses with an insult or a threat run through the machines side by side, a token a step.
+A match weighs its log odds times a factor for each of its marks.  The sum over a text's
+matches, on a logarithmic scale, passes a logistic curve.  Curve and factors are fitted on
+the labelled rows; a factor keeps its prior value where they tell nothing, and is bounded,
+so that negated and reported matches always weigh less and targeted ones never do.
+
+Learning uses at most ``MAX_LABELLED`` rows of at most ``MAX_FIT_BYTES`` bytes each, those
+with the least hashes of their ids among the rows that are not held out; every text is
+scored whole.
 """
 
 from __future__ import annotations
 
-import itertools
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +37,7 @@ from artifact_scan.llm.jaccard_join import shingle_sets, signatures
 from artifact_scan.llm.store import table
 from artifact_scan.llm.words import Words, mix, slices, span_hashes, split, split_bytes, text_buffer
 
-MAX_LABELLED = 8_000
+MAX_LABELLED, MAX_FIT_BYTES = 8_000, 1 << 16
 MIN_STEM, MAX_STEM = 3, 12  # bytes
 ALPHA = 0.01  # chance of any false stem, over all candidates
 MAX_IMPURITY = 0.1
@@ -38,9 +48,12 @@ TARGETS = "you your he she they them him her these those people tu vous ils elle
 NEGATIONS = "not never no don't doesn't isn't ne pas jamais nicht kein keine nie nunca jamás".split()
 REPORTS = "said says wrote quoted called claims dit écrit sagte schrieb dijo escribió".split()
 
-OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT = range(6)
+OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT = TAGS = range(6)
+TARGETED, NEGATED, REPORTED, ACCOMPANIED = 1, 2, 4, 8  # marks
 REACH = 4  # tokens over which a negation or a target acts
 THREAT_WEIGHT = 3.0
+#: Of each mark: the factor's prior and its bounds.
+FACTORS = {TARGETED: (1.3, 1.0, 3.0), NEGATED: (0.4, 0.05, 0.8), REPORTED: (0.5, 0.05, 0.8)}
 
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(65, 91), *range(97, 123), 39, *range(128, 256)]] = True
@@ -50,58 +63,72 @@ _CLAUSE[list(b".,;:!?\n|()")] = True
 
 @dataclass(frozen=True)
 class Transducer:
-    """step(state, tag) -> (state, factor); the factor scales an insult or a threat read in that step."""
+    """arcs[state, tag] = (next state, marks put on the token read)."""
 
     start: int
-    arcs: dict[tuple[int, int], tuple[int, float]]
+    arcs: dict[tuple[int, int], tuple[int, int]]
 
     def compose(self, other: Transducer) -> Transducer:
-        """Both machines in step: states are pairs, factors multiply."""
+        """Both machines in step: states are pairs, marks are united."""
         pairs = {(self.start, other.start): 0}
-        arcs: dict[tuple[int, int], tuple[int, float]] = {}
+        arcs: dict[tuple[int, int], tuple[int, int]] = {}
         todo = [(self.start, other.start)]
         while todo:
             a, b = todo.pop()
-            for tag in range(6):
-                (a2, f), (b2, g) = self.arcs[a, tag], other.arcs[b, tag]
+            for tag in TAGS:
+                (a2, m), (b2, n) = self.arcs[a, tag], other.arcs[b, tag]
                 if (a2, b2) not in pairs:
                     pairs[a2, b2] = len(pairs)
                     todo.append((a2, b2))
-                arcs[pairs[a, b], tag] = (pairs[a2, b2], f * g)
+                arcs[pairs[a, b], tag] = (pairs[a2, b2], m | n)
         return Transducer(0, arcs)
 
+    def tables(self) -> tuple[np.ndarray, np.ndarray]:
+        """(next state, marks) by state and tag."""
+        n = 1 + max(state for state, _ in self.arcs)
+        both = np.array([[self.arcs[state, tag] for tag in TAGS] for state in range(n)])
+        return both[:, :, 0], both[:, :, 1]
 
-def _window(trigger: int, on: dict[int, float], off: dict[int, float], reach: int) -> Transducer:
-    """Counts down ``reach`` tokens from a trigger; factors by tag while it runs and when it does not."""
-    arcs = {}
-    for state, tag in itertools.product(range(reach + 1), range(6)):
-        arcs[state, tag] = (reach if tag == trigger else max(0, state - 1), (on if state else off).get(tag, 1.0))
-    return Transducer(0, arcs)
 
+def _near(trigger: int, mark: int, reach: int = REACH) -> Transducer:
+    """Marks what is read at most ``reach`` tokens after a trigger."""
+    return Transducer(0, {(s, t): (reach if t == trigger else max(0, s - 1), mark if s else 0) for s in range(reach + 1) for t in TAGS})
 
-def _latch(trigger: int, on: dict[int, float]) -> Transducer:
-    """Stays on from a trigger to the clause's end."""
-    return Transducer(0, {(s, t): (1 if t == trigger else s, on.get(t, 1.0) if s else 1.0) for s in (0, 1) for t in range(6)})
 
+def _after(triggers: tuple[int, ...], mark: int) -> Transducer:
+    """Marks whatever is read after a trigger."""
+    return Transducer(0, {(s, t): (1 if t in triggers else s, mark if s else 0) for s in (0, 1) for t in TAGS})
 
-GRAMMAR = (
-    _window(TARGET, {INSULT: 1.3}, {THREAT: 0.0}, REACH)
-    .compose(_window(NEGATION, {INSULT: 0.5, THREAT: 0.2}, {}, REACH))
-    .compose(_latch(REPORT, {INSULT: 0.6, THREAT: 0.4}))
-)
 
+def _kept(tag: int, need: int, machine: Transducer) -> Transducer:
+    """The machine with ``need`` taken off other tags than ``tag``: who needs a mark to match."""
+    return Transducer(machine.start, {(s, t): (n, m if t == tag else m & ~need) for (s, t), (n, m) in machine.arcs.items()})
 
-def clause_score(tags: list[int], weights: list[float], grammar: Transducer = GRAMMAR) -> float:
-    """The better reading of a clause, forwards or backwards (targets and reports may follow what they concern)."""
-    best = 0.0
-    for order in (range(len(tags)), range(len(tags) - 1, -1, -1)):
-        state, total = grammar.start, 0.0
-        for i in order:
-            state, factor = grammar.arcs[state, tags[i]]
-            if tags[i] in (INSULT, THREAT):
-                total += weights[i] * factor
-        best = max(best, total)
-    return best
+
+INSULTING = _kept(INSULT, ACCOMPANIED, _after(tuple(TAGS), ACCOMPANIED))
+THREATENING = _kept(THREAT, ACCOMPANIED, _near(TARGET, ACCOMPANIED))
+TARGETING, NEGATING, REPORTING = _near(TARGET, TARGETED), _near(NEGATION, NEGATED), _after((REPORT,), REPORTED)
+FORWARD = INSULTING.compose(THREATENING).compose(TARGETING).compose(NEGATING).compose(REPORTING).tables()
+BACKWARD = INSULTING.compose(THREATENING).compose(TARGETING).compose(REPORTING).tables()
+
+
+def marks_of(tags: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The marks of every token of the clauses ``starts``:``ends``, read both ways, all clauses a token a step."""
+    out = np.zeros(len(tags), np.int64)
+    order = np.argsort(starts - ends, kind="stable")
+    starts, ends = starts[order], ends[order]
+    sizes = ends - starts
+    for (step, marks), first, way in ((FORWARD, starts, 1), (BACKWARD, ends - 1, -1)):
+        state = np.zeros(len(starts), np.int64)
+        n = len(starts)
+        for t in range(int(sizes.max(initial=0))):
+            while sizes[n - 1] <= t:  # the longest come first
+                n -= 1
+            at = first[:n] + way * t
+            read = tags[at]
+            out[at] |= marks[state[:n], read]
+            state[:n] = step[state[:n], read]
+    return out
 
 
 def lower(data: np.ndarray) -> np.ndarray:
@@ -131,6 +158,7 @@ class Model:
     stems: dict[bytes, tuple[bool, float]]  # stem -> (whole word, weight)
     intercept: float
     slope: float
+    factors: dict[int, float] = field(default_factory=lambda: {mark: prior for mark, (prior, _, _) in FACTORS.items()})
 
     def __post_init__(self):
         """Sorted hash tables: whole words by their hash, stems by length."""
@@ -146,11 +174,11 @@ class Model:
             else:
                 self.prefix.setdefault(len(stem), {})[h] = weight
 
-    def evidence(self, column: pa.Array) -> np.ndarray:
-        """The sum of clause scores of each text."""
+    def matches(self, column: pa.Array) -> np.ndarray:
+        """The weight of each text's matches by their marks but the last: (texts, 8)."""
         words = tokens(column)
         n, total = len(words.bounds) - 1, len(words.starts)
-        out = np.zeros(n)
+        out = np.zeros((n, ACCOMPANIED))
         if not total:
             return out
         tags, weights = np.zeros(total, np.int8), np.zeros(total)
@@ -178,16 +206,25 @@ class Model:
         clause = np.searchsorted(marks, words.starts) + words.doc() * (len(marks) + 1)
         starts = np.flatnonzero(np.concatenate([[True], clause[1:] != clause[:-1]]))
         ends = np.append(starts[1:], total)
-        doc = words.doc()
-        for c in np.unique(np.searchsorted(starts, hot, "right") - 1):
-            lo, hi = starts[c], ends[c]
-            out[doc[lo]] += clause_score(tags[lo:hi].tolist(), weights[lo:hi].tolist())
+        read = np.unique(np.searchsorted(starts, hot, "right") - 1)
+        marks = marks_of(tags, starts[read], ends[read])[hot]
+        hot, marks = hot[marks & ACCOMPANIED > 0], marks[marks & ACCOMPANIED > 0]
+        np.add.at(out, (words.doc()[hot], marks & ~ACCOMPANIED), weights[hot])
         return out
 
+    def evidence(self, column: pa.Array) -> np.ndarray:
+        """The weighted sum of each text's matches."""
+        return self.matches(column) @ weights_of(self.factors)
+
     def score(self, evidence: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-(self.intercept + self.slope * np.log1p(evidence))))
 
 
+def weights_of(factors: dict[int, float]) -> np.ndarray:
+    """The product of the factors of each set of marks."""
+    return np.array([np.prod([f for mark, f in factors.items() if marks & mark] or [1.0]) for marks in range(ACCOMPANIED)])
+
+
 def _counts(hashes: np.ndarray, doc: np.ndarray, toxic: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(hash, an index of it, toxic texts, other texts) of each distinct hash."""
     order = np.lexsort((doc, hashes))
@@ -252,6 +289,25 @@ def fit_curve(evidence: np.ndarray, toxic: np.ndarray, penalty: float = 1e-2) ->
     return float(w[0]), float(w[1])
 
 
+def fit_factors(matches: np.ndarray, toxic: np.ndarray, strength: float = 2.0) -> dict[int, float]:
+    """The factors of least loss, by descent along each in turn; ``strength`` ties their logarithms to those of the priors."""
+    factors = {mark: prior for mark, (prior, _, _) in FACTORS.items()}
+
+    def loss() -> float:
+        x = np.log1p(matches @ weights_of(factors))
+        a, b = fit_curve(np.expm1(x), toxic)
+        z = a + b * x
+        return float(np.logaddexp(0, np.where(toxic, -z, z)).sum()) + strength * sum(np.log(f / FACTORS[m][0]) ** 2 for m, f in factors.items())
+
+    for mark, (prior, low, high) in [*FACTORS.items()] * 2:
+        tried = []
+        for value in sorted({prior, factors[mark], *np.geomspace(low, high, 9)}):
+            factors[mark] = float(value)
+            tried.append((loss(), float(value)))
+        factors[mark] = min(tried)[1]
+    return factors
+
+
 def _different(texts: list[str], toxic: list[int], bands: int = 10) -> dict[str, int]:
     """Texts that are no near copies of an earlier one: chance counts must not see a copied text as many.
 
@@ -275,16 +331,17 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED) -> Model:
     """A model from at most ``limit`` labelled rows; the driver gets their texts. Without labels nothing is toxic."""
     known = labels.where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     known = known.where(~held_out(F.col("doc_id"))).orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
-    rows = docs.where("text is not null").join(F.broadcast(known), "doc_id").select("doc_id", "toxic", "text").toArrow()
+    rows = docs.where(F.octet_length("text") <= MAX_FIT_BYTES).join(F.broadcast(known), "doc_id").select("doc_id", "toxic", "text").toArrow()
     rows = rows.sort_by([("doc_id", "ascending"), ("text", "ascending")]).combine_chunks()
     once = _different(rows.column("text").to_pylist(), rows.column("toxic").to_pylist())
     toxic = np.array(list(once.values()), np.int64)
     if not len(toxic) or toxic.min() == toxic.max():
         return Model({}, -4.0, 0.0)
     column = pa.array(list(once), pa.large_string())
-    model = Model(learn_stems(column, toxic), 0.0, 0.0)
-    evidence = model.evidence(column)
-    return Model(model.stems, *fit_curve(evidence, toxic))
+    stems = learn_stems(column, toxic)
+    matches = Model(stems, 0.0, 0.0).matches(column)
+    factors = fit_factors(matches, toxic)
+    return Model(stems, *fit_curve(matches @ weights_of(factors), toxic), factors)
 
 
 def held_out(doc_id):
@@ -295,7 +352,9 @@ def held_out(doc_id):
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, held_out, score, predicted, evidence), one row for each row of ``docs`` (doc_id, text).
 
-    Null and empty texts, and texts without an insult or a threat, get the curve's score at no evidence.
+    Null and empty texts, and texts without a match, get the curve's score at no evidence.  Rows
+    that repeat an id are scored each; a null id is kept and not held out; other columns of
+    ``docs`` are not read; an empty table gives none.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
