@@ -2,9 +2,10 @@
 
 Every round links each node's larger neighbours to the least node around it, then the
 smaller ones (large-star and small-star of Kiveris et al., 2014), with aggregations and
-joins only: no adjacency list is ever gathered.  Hubs are ordinary join keys, which
-adaptive execution splits.  Each half round is written to the shared folder, so the
-plan of a round never contains the rounds before it.
+joins only: no adjacency list is ever gathered.  Hubs are ordinary join keys: the least
+neighbours are written before they are joined, as adaptive execution splits hot keys of a
+join of plain shuffles only.  Each half round is written to the shared folder, so the plan
+of a round never contains the rounds before it.
 """
 
 from __future__ import annotations
@@ -23,12 +24,12 @@ def _oriented(edges: DataFrame) -> DataFrame:
 
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select("b", "a"))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    least = written(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
     return _oriented(both.where("v > u").join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b")))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
-    least = edges.groupBy("a").agg(F.min("b").alias("m"))
+    least = written(edges.groupBy("a").agg(F.min("b").alias("m")), "least")
     moved = edges.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return _oriented(moved.union(least))
 
