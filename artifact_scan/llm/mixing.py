@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from artifact_scan.llm.store import broadcast_if_small, table, written
+from artifact_scan.llm.store import broadcast_if_small, free, maybe_among, table, without, written
 from artifact_scan.llm.words import slices, split
 
 WEIGHTS = (5, 2, 1)  # repeated over the sources in code point order, null last
@@ -33,18 +33,23 @@ BINS = 4096
 GOOD, BAD = 2.0, 0.5
 
 
+def row_key():
+    """A number that rows equal in id, source and text share, and others do not."""
+    some = [x for c in ("doc_id", "source") for x in (F.col(c), F.col(c).isNull())]
+    return F.xxhash64(*some, F.col("text"))
+
+
 def _count(batches):
     for batch in batches:
         for part in slices(batch):
             counts = pa.array(split(part.column("text")).counts)
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("source"), counts], ["doc_id", "source", "size"])
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("doc_id", "source", "row")), counts], ["doc_id", "source", "row", "size"])
 
 
 def sizes(docs: DataFrame) -> DataFrame:
-    """(doc_id, source, size in words); null text has size 0."""
-    return docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), F.col("text").cast("string")).mapInArrow(
-        _count, "doc_id long, source string, size long"
-    )
+    """(doc_id, source, row, size in words); null text has size 0."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("text").cast("string").alias("text"))
+    return docs.withColumn("row", row_key()).mapInArrow(_count, "doc_id long, source string, row long, size long")
 
 
 def targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS) -> DataFrame:
@@ -68,7 +73,7 @@ def targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: in
 
 
 def mix(sized: DataFrame, weighted: DataFrame | None = None, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS, bins: int = BINS) -> DataFrame:
-    """(doc_id, size, source_size, target, taken), one row for each row of ``sized`` (doc_id, source, size).
+    """(doc_id, size, source_size, target, taken[, row]), one row for each row of ``sized`` (doc_id, source, size[, row]).
 
     ``weighted`` gives (doc_id, weight > 0) for some documents.  Rows without words take 0;
     an empty table gives none; rows that repeat a document draw the same key and are ordered
@@ -97,11 +102,11 @@ def mix(sized: DataFrame, weighted: DataFrame | None = None, weights: tuple[int,
 
     rows = sized.join(broadcast_if_small(goal), "skey")
     inner = F.col("bin") == F.col("last")
-    order = Window.partitionBy("skey").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    order = Window.partitionBy("skey").orderBy("key", "doc_id", "size", *(["row"] if "row" in sized.columns else [])).rowsBetween(Window.unboundedPreceding, -1)
     ended = rows.where(inner).withColumn("ahead", F.col("before") + F.coalesce(F.sum("size").over(order), F.lit(0)))
     ended = ended.withColumn("part", F.greatest(F.lit(0), F.least(F.col("size"), F.col("budget") - F.col("ahead"))))
     whole = rows.where(F.col("last").isNull() | ~inner).withColumn("part", F.when(F.col("bin") < F.col("last"), F.col("size")).otherwise(F.lit(0)))
-    out = ["doc_id", "size", "source_size", "target", (F.col("epochs") * F.col("size") + F.col("part")).alias("taken")]
+    out = ["doc_id", "size", "source_size", "target", (F.col("epochs") * F.col("size") + F.col("part")).alias("taken"), *(["row"] if "row" in sized.columns else [])]
     return whole.select(*out).unionByName(ended.select(*out))
 
 
@@ -112,25 +117,34 @@ def quality_weights(labels: DataFrame) -> DataFrame:
 
 
 def mixed(docs: DataFrame, plan: DataFrame) -> DataFrame:
-    """The documents that a plan (doc_id, size, taken) takes, with the columns of ``docs``.
+    """The documents that a plan (row, size, taken) of ``mix`` takes, with the columns of ``docs``.
 
     A document taken whole n times stands there n times; the part of one is its first words,
-    joined by spaces, with ``n_chars``, where there is such a column, counted anew.
+    joined by spaces, with ``n_chars``, where there is such a column, counted anew.  Rows equal
+    in id, source and text are one document whose planned words add up; one of them stands for
+    all.  Null ids and sources, and ids shared by different texts, are planned by row.  Documents
+    that the plan does not name or gives nothing are left out; an empty table gives none.
     """
-    plan = plan.where("taken > 0").groupBy("doc_id").agg(F.max("size").alias("_size"), F.max("taken").alias("_taken"))
-    plan = plan.withColumn("_whole", F.floor(F.col("_taken") / F.col("_size"))).withColumn("_part", F.col("_taken") - F.col("_whole") * F.col("_size"))
-    plan = plan.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_whole") + F.when(F.col("_part") > 0, 1).otherwise(0))))
-    both = docs.join(plan, docs["doc_id"].eqNullSafe(plan["doc_id"])).drop(plan["doc_id"])
-    cut = F.col("_copy") > F.col("_whole")
+    row, size, whole, part, copy = (free(docs, name) for name in ("_row", "_size", "_whole", "_part", "_copy"))
+    named = docs.withColumn(row, row_key())
+    plan = plan.groupBy(F.col("row").alias(row)).agg(F.max("size").alias(size), F.sum("taken").alias("taken"), F.count("*").alias("n"))
+    plan = written(plan.where("taken > 0"), "mix-plan")
+    repeated = written(plan.where("n > 1").select(row), "mix-repeated")
+    once = maybe_among(named, repeated, row).join(repeated.hint("merge"), row).dropDuplicates([row]).select(*named.columns)
+    named = without(named, repeated, row).unionByName(once)
+    plan = plan.withColumn(whole, F.floor(F.col("taken") / F.col(size))).withColumn(part, F.col("taken") - F.col(whole) * F.col(size))
+    plan = plan.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(whole) + F.when(F.col(part) > 0, 1).otherwise(0))))
+    both = named.join(plan.select(row, whole, part, copy), row)
+    cut = F.col(copy) > F.col(whole)
     words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    both = both.withColumn("text", F.when(cut, F.array_join(F.slice(words, 1, F.col("_part").cast("int")), " ")).otherwise(F.col("text")))
+    both = both.withColumn("text", F.when(cut, F.array_join(F.slice(words, 1, F.col(part).cast("int")), " ")).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
         both = both.withColumn("n_chars", F.when(cut, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return both.select(*docs.columns)
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix(sizes(table(spark, sf_dir, "documents")), quality_weights(table(spark, sf_dir, "labels")))
+    return mix(sizes(table(spark, sf_dir, "documents")).drop("row"), quality_weights(table(spark, sf_dir, "labels")))
 
 
 ORACLE_SQL = rf"""

@@ -92,6 +92,7 @@ def statistics(column: pa.Array) -> dict[str, np.ndarray]:
 
 
 STATISTICS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_marks", "n_doubled")
+VERDICTS = ("base_failed", "anomaly", "kept")
 
 
 def base_failed(s: dict[str, np.ndarray]) -> np.ndarray:
@@ -226,8 +227,7 @@ def judge(docs: DataFrame, forest: Forest | None, without: tuple[str, ...] = ())
     Null and empty texts have no words, so they fail the base rules.  Columns of ``docs`` that
     have one of these names are replaced; repeated rows get equal verdicts.
     """
-    extra = ("base_failed", "anomaly", "kept")
-    docs = docs.drop(*STATISTICS, *extra)
+    docs = docs.drop(*STATISTICS, *VERDICTS)
     shared = docs.sparkSession.sparkContext.broadcast(forest)
     columns = [c for c in docs.columns if c not in without]
 
@@ -240,7 +240,7 @@ def judge(docs: DataFrame, forest: Forest | None, without: tuple[str, ...] = ())
                 score = model.score(features(s)) if model else np.zeros(len(failed))
                 kept = ~failed & (score < model.threshold if model else True)
                 arrays = [*(part.column(c) for c in columns), *(pa.array(s[k]) for k in STATISTICS), pa.array(failed), pa.array(score), pa.array(kept)]
-                yield pa.RecordBatch.from_arrays(arrays, [*columns, *STATISTICS, *extra])
+                yield pa.RecordBatch.from_arrays(arrays, [*columns, *STATISTICS, *VERDICTS])
 
     schema = docs.select(*columns).schema
     for k in STATISTICS:

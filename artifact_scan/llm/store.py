@@ -3,7 +3,7 @@
 Intermediate results that several steps read are written as Parquet below the folder
 that the cluster names in ``spark.checkpoint.dir``, which every executor sees; a lost
 executor then costs one re-read, not the lineage.  ``drop_scratch`` removes them once
-the results that read them have been written.
+the results that read them have been written, ``drop_since`` those of one step.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 _ROOTS: dict[str, str] = {}
 _NUMBER = itertools.count()
+_WRITTEN: list[str] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,9 +24,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The shared folder of the session; a local one only where none is set (tests)."""
+    """The shared folder of the session; a local one only where none is set and all runs on one machine (tests)."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root is None:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         app = spark.sparkContext.applicationId
         if app not in _ROOTS:
             _ROOTS[app] = "file://" + tempfile.mkdtemp(prefix="scratch-")
@@ -43,13 +47,31 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{_scratch(spark)}/{next(_NUMBER)}-{name}-{uuid.uuid4().hex[:8]}"
     df.write.parquet(path)
+    _WRITTEN.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    found = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    found.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(found, True)
+
+
 def drop_scratch(spark: SparkSession) -> None:
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(_scratch(spark))
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    """Removes all intermediate tables of the session."""
+    _WRITTEN.clear()
+    _delete(spark, _scratch(spark))
+
+
+def mark() -> int:
+    """How many intermediate tables there are, for ``drop_since``."""
+    return len(_WRITTEN)
+
+
+def drop_since(spark: SparkSession, since: int, keep: int = 1) -> None:
+    """Removes the intermediate tables written since ``mark()`` but the last ``keep``."""
+    for path in _WRITTEN[since : len(_WRITTEN) - keep]:
+        _delete(spark, path)
+    del _WRITTEN[since : len(_WRITTEN) - keep]
 
 
 def broadcast_if_small(df: DataFrame, rows: int = 10_000) -> DataFrame:
@@ -65,6 +87,14 @@ def broadcast_if_small(df: DataFrame, rows: int = 10_000) -> DataFrame:
 CELLS = 1 << 21
 
 
+def free(df: DataFrame, name: str) -> str:
+    """``name``, with underscores added until no column of ``df`` has it: for columns of a step's own."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def maybe_among(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     """Rows of ``df`` whose ``key`` may occur in ``ids``: all that do, and few others while ids are few.
 
@@ -74,9 +104,10 @@ def maybe_among(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     """
     from pyspark.sql import functions as F
 
+    name = free(df, "_cell")
     cell = F.pmod(F.xxhash64(key), F.lit(CELLS))
-    used = ids.select(cell.alias("_cell")).distinct()
-    return df.withColumn("_cell", cell).join(F.broadcast(used), "_cell", "left_semi").drop("_cell")
+    used = ids.select(cell.alias(name)).distinct()
+    return df.withColumn(name, cell).join(F.broadcast(used), name, "left_semi").drop(name)
 
 
 def without(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
@@ -87,9 +118,10 @@ def without(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     """
     from pyspark.sql import functions as F
 
+    name, flag = free(df, "_cell"), free(df, "_used")
     cell = F.pmod(F.xxhash64(key), F.lit(CELLS))
-    used = ids.select(cell.alias("_cell"), F.lit(True).alias("_used")).distinct()
-    marked = df.withColumn("_cell", cell).join(F.broadcast(used), "_cell", "left").drop("_cell")
-    clear = marked.where("_used is null").drop("_used").select(*df.columns)
-    rest = marked.where("_used").drop("_used").select(*df.columns)
+    used = ids.select(cell.alias(name), F.lit(True).alias(flag)).distinct()
+    marked = df.withColumn(name, cell).join(F.broadcast(used), name, "left").drop(name)
+    clear = marked.where(F.col(flag).isNull()).drop(flag).select(*df.columns)
+    rest = marked.where(F.col(flag)).drop(flag).select(*df.columns)
     return clear.unionByName(rest.join(ids.select(key).distinct().hint("merge"), key, "left_anti").select(*df.columns))

@@ -227,11 +227,12 @@ def weights_of(factors: dict[int, float]) -> np.ndarray:
 
 def _counts(hashes: np.ndarray, doc: np.ndarray, toxic: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(hash, an index of it, toxic texts, other texts) of each distinct hash."""
-    order = np.lexsort((doc, hashes))
+    order = np.lexsort((doc, hashes)).astype(np.int32)
     h, d = hashes[order], doc[order]
     new = np.ones(len(h), bool)
     new[1:] = (h[1:] != h[:-1]) | (d[1:] != d[:-1])
     h, d, order = h[new], d[new], order[new]
+    del new
     starts = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, np.int64)
     bad = np.add.reduceat(toxic[d], starts) if len(h) else starts
     return h[starts], order[starts], bad, np.diff(np.append(starts, len(h))) - bad
@@ -244,16 +245,17 @@ def learn_stems(column: pa.Array, toxic: np.ndarray) -> dict[bytes, tuple[bool,
     common word part and not a chance beginning.
     """
     words = tokens(column)
-    doc, size = words.doc(), words.ends - words.starts
+    doc, size = words.doc().astype(np.int32), (words.ends - words.starts).astype(np.int32)
     rate = float(np.clip(toxic.mean(), 1e-6, 1 - 1e-6))
     found: dict[bytes, tuple[bool, int, int]] = {}
     tested = 0
     for length in range(MIN_STEM, MAX_STEM + 1):
-        long = np.flatnonzero(size >= length)
+        long = np.flatnonzero(size >= length).astype(np.int32)
         cut = words.starts[long] + length
         # Between characters only: the next byte must not continue one.
         inner = np.append(words.data, 0)[cut]
         long = long[((inner & 0xC0) != 0x80) | (cut == words.ends[long])]
+        del cut, inner
         h = span_hashes(words.data, words.starts[long], words.starts[long] + length)
         for whole in (False, True):
             pick = np.flatnonzero(size[long] == length) if whole else np.arange(len(long))
@@ -334,12 +336,14 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED) -> Model:
     rows = docs.where(F.octet_length("text") <= MAX_FIT_BYTES).join(F.broadcast(known), "doc_id").select("doc_id", "toxic", "text").toArrow()
     rows = rows.sort_by([("doc_id", "ascending"), ("text", "ascending")]).combine_chunks()
     once = _different(rows.column("text").to_pylist(), rows.column("toxic").to_pylist())
+    del rows
     toxic = np.array(list(once.values()), np.int64)
     if not len(toxic) or toxic.min() == toxic.max():
         return Model({}, -4.0, 0.0)
     column = pa.array(list(once), pa.large_string())
     stems = learn_stems(column, toxic)
-    matches = Model(stems, 0.0, 0.0).matches(column)
+    lexicon = Model(stems, 0.0, 0.0)
+    matches = np.concatenate([lexicon.matches(column.slice(at, 256)) for at in range(0, len(column), 256)])
     factors = fit_factors(matches, toxic)
     return Model(stems, *fit_curve(matches @ weights_of(factors), toxic), factors)
 

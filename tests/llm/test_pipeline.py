@@ -66,6 +66,27 @@ def test_near_duplicates_of_repeated_ids(spark):
     assert Counter((r["doc_id"], r["text"]) for r in out) == Counter([(1, a), (1, b), (4, c), (4, d), (5, "")])
 
 
+def test_stages_on_odd_tables(spark, tables):
+    """Null and repeated ids, empty tables, and columns with names that the operators use."""
+    extra = {"kept": 1, "print": "p", "_cell": 2, "row": 3, "n_words": 4, "anomaly": 0.5}
+    docs = spark.read.parquet(f"{tables}/documents.parquet").withColumns({c: F.lit(v) for c, v in extra.items()})
+    item = spark.read.parquet(f"{tables}/benchmark.parquet").first()["text"]
+    some = docs.where("doc_id = 3").first()
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs.where("false"), tables)
+        assert out.count() == 0 and out.columns[: len(docs.columns)] == docs.columns, name
+        if name != "sharding":
+            got = stage(spark, docs, tables)
+            assert got.columns == docs.columns and got.select(*extra).distinct().collect() == [tuple(extra.values())], name
+    row = lambda i, t: (i, t, *list(some)[2:])
+    leaks = spark.createDataFrame([row(None, f"{some['text']} {item}"), row(None, some["text"]), row(7, f"{some['text']} {item}"), row(7, some["text"]), row(8, None)], docs.schema)
+    assert Counter(r["doc_id"] for r in corpus_pipeline.decontaminate(spark, leaks, tables).collect()) == {None: 1, 7: 1, 8: 1}
+    kept = corpus_pipeline.near_duplicates(spark, leaks, tables).collect()
+    assert Counter(r["doc_id"] for r in kept) == {None: 2, 7: 2, 8: 1}
+    assert {r["doc_id"] for r in corpus_pipeline.quality_rules(spark, leaks, tables).collect()} == {None, 7}
+    assert corpus_pipeline.mix_sources(spark, leaks, tables).count() == 4
+
+
 def test_run_agrees(spark, tables):
     first = corpus_pipeline.run(spark, tables)
     assert first.where(F.col("slot").isNull()).count() == 0 and first.count() > 0
