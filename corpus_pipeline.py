@@ -2,7 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir) and returns what it keeps, with the columns of
 ``documents``; the last adds ``slot`` and ``shard``.  ``run`` writes each stage's result
-to the shared folder and reads it again as the next one's input.
+to the shared folder, reads it again as the next one's input and removes what the stage
+wrote on its way.  Empty tables give empty results of the same columns.
 
 SQL cannot express the forest, the singular vectors or the signatures, so ``ORACLE_SQL``
 is None; the tests hold the stages against brute force.
@@ -14,38 +15,47 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from artifact_scan.llm import decontamination, jaccard_join, mixing, quality, sharding
-from artifact_scan.llm.store import maybe_among, table, without, written
+from artifact_scan.llm.store import drop_since, free, mark, maybe_among, table, without, written
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the base rules and the forest, which is fitted on this input's labelled rows."""
+    """Documents that pass the base rules and the forest, which is fitted on this input's labelled rows.
+
+    Null and empty texts fail; rows that repeat an id are judged each by its text; columns of
+    the names that the operator adds are kept as they are.
+    """
+    clash = {c: free(docs, f"_{c}") for c in docs.columns if c in (*quality.STATISTICS, *quality.VERDICTS)}
     forest = quality.fit(docs, table(spark, sf_dir, "labels"))
-    return quality.judge(docs, forest).where("kept").select(*docs.columns)
+    kept = quality.judge(docs.withColumnsRenamed(clash), forest).where("kept")
+    return kept.select(*(F.col(clash.get(c, c)).alias(c) for c in docs.columns))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one with the least id, once; null ids stay.
+    """Of each group of linked documents the one with the least id, once; null ids and texts without words stay.
 
     Rows that share an id are told apart by the prints of their texts.
     """
+    name = free(docs, "_print")
     found = written(jaccard_join.linked(docs).where("doc_id is not null").select("doc_id", "class_id", "print", "group"), "stage-classes")
     copies = found.where("doc_id <> class_id").select("doc_id").distinct()
     repeated = written(found.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), "stage-repeated")
     kept = without(docs, written(copies.unionByName(repeated).distinct(), "stage-dropped"), "doc_id")
-    first = maybe_among(found.where("doc_id = class_id"), repeated, "doc_id").groupBy("doc_id", "group").agg(F.min("print").alias("print"))
-    first = first.join(repeated, "doc_id").select("doc_id", "print").distinct()
-    once = jaccard_join.printed(maybe_among(docs, repeated, "doc_id")).join(first.hint("merge"), ["doc_id", "print"]).dropDuplicates(["doc_id", "print"])
+    first = maybe_among(found.where("doc_id = class_id"), repeated, "doc_id").groupBy("doc_id", "group").agg(F.min("print").alias(name))
+    first = first.join(repeated, "doc_id").select("doc_id", name).distinct()
+    once = jaccard_join.printed(maybe_among(docs, repeated, "doc_id"), name).join(first.hint("merge"), ["doc_id", name]).dropDuplicates(["doc_id", name])
     return kept.unionByName(once.select(*docs.columns))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which no benchmark item stands."""
-    found = decontamination.contaminated(docs, table(spark, sf_dir, "benchmark"))
-    return without(docs, written(found.where("doc_id is not null").select("doc_id").distinct(), "stage-leaks"), "doc_id")
+    """Documents in which no benchmark item stands: their texts alone decide, so null and repeated ids do not matter."""
+    key = free(docs, "_key")
+    keyed = docs.withColumn(key, F.xxhash64("text"))
+    found = decontamination.contaminated(keyed.select(F.col(key).alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"))
+    return without(keyed, written(found.select(F.col("doc_id").alias(key)).distinct(), "stage-leaks"), key).select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them."""
+    """Documents as often as the mix takes them; rows equal in id, source and text are one document that counts as often."""
     plan = mixing.mix(mixing.sizes(docs), mixing.quality_weights(table(spark, sf_dir, "labels")))
     return mixing.mixed(docs, plan)
 
@@ -69,5 +79,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
+        since = mark()
         docs = written(stage(spark, docs, sf_dir), f"pipeline-{k}")
+        drop_since(spark, since - (k > 0))  # with what the stage read
     return docs
