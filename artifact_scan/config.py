@@ -9,6 +9,7 @@ from dataclasses import dataclass
 class Config:
     """Limits of one scan; every value can be replaced by the caller."""
 
+    # The limits that a scan has where the caller gives none.
     max_total_bytes: int = 25 * 1024 * 1024
     max_files: int = 2000
     max_file_bytes: int = 5 * 1024 * 1024

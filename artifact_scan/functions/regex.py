@@ -1,7 +1,7 @@
 """RE2 patterns as Java patterns with the same matches, and matching with positions.
 
 Spark has no ``finditer``: ``matches`` puts marks around each match, splits at them and
-rebuilds what stands before and after, which gives line, clause and evidence.  Texts that
+folds over the pieces, which gives line, clause and evidence.  Texts that
 match nothing, nearly all, only pay for plain searches: a pattern is tried where one of
 the literals that any of its matches must hold occurs.
 """
@@ -105,6 +105,41 @@ def hits(text: Column, low: Column, patterns: list[Pattern], when: dict[int, Col
     return F.filter(F.array(*flags), lambda x: x.isNotNull())
 
 
+def _plain(piece: Column) -> Column:
+    return F.replace(piece, F.lit(END))
+
+
+def _before(pieces: str) -> Column:
+    """For each match its line, what stands before it since the last end of a clause, and since the last end of a line.
+
+    One pass over the pieces: each match's state follows from the one before, cut at the last
+    separator, not by a pattern anchored at the end, which would try every start.
+    """
+
+    def step(states: Column, piece: Column) -> Column:
+        last, plain = F.element_at(states, -1), _plain(piece)
+        clauses = F.translate(plain, ".;:!?", "\n\n\n\n\n")
+        since = lambda text, old: F.when(F.contains(text, F.lit("\n")), F.substring_index(text, "\n", -1)).otherwise(F.concat(old, text))
+        line = last["line"] + F.length(plain) - F.length(F.replace(plain, F.lit("\n")))
+        return F.concat(states, F.array(F.struct(line.alias("line"), since(clauses, last["clause"]).alias("clause"), since(plain, last["tail"]).alias("tail"))))
+
+    start = F.array(F.struct(F.lit(1).alias("line"), F.lit("").alias("clause"), F.lit("").alias("tail")))
+    states = F.aggregate(F.slice(pieces, 1, F.size(pieces) - 1), start, step)
+    return F.slice(states, 2, F.size(pieces))
+
+
+def _after(pieces: str) -> Column:
+    """For each match what stands from its begin to the end of its line."""
+
+    def step(heads: Column, piece: Column) -> Column:
+        plain = _plain(piece)
+        head = F.when(F.contains(plain, F.lit("\n")), F.substring_index(plain, "\n", 1)).otherwise(F.concat(plain, F.element_at(heads, -1)))
+        return F.concat(heads, F.array(head))
+
+    heads = F.aggregate(F.reverse(F.slice(pieces, 2, F.size(pieces))), F.array(F.lit("")), step)
+    return F.slice(F.reverse(heads), 1, F.size(pieces) - 1)
+
+
 def matches(df: DataFrame, text: str, patterns: list[Pattern], when: dict[int, Column] | None = None) -> DataFrame:
     """A row for each match: columns of ``df`` but the text, and rule, pattern_ord, match_ord, line, clause, line_text, match.
 
@@ -119,21 +154,17 @@ def matches(df: DataFrame, text: str, patterns: list[Pattern], when: dict[int, C
     known = spark.createDataFrame([(n, p.rule, p.ordinal, p.java) for n, p in enumerate(patterns)], "_hit int, rule int, pattern_ord int, _java string")
     found = found.join(F.broadcast(known), "_hit")  # one row a pattern of the corpus
     pieces = F.split(F.regexp_replace(F.col("_text"), F.col("_java"), F.lit(BEGIN + "$0" + END)), BEGIN, -1)
-    found = found.withColumn("_pieces", pieces).withColumn("match_ord", F.explode(F.sequence(F.lit(1), F.size("_pieces") - 1)))
-    before = F.translate(F.array_join(F.slice("_pieces", F.lit(1), F.col("match_ord")), ""), END, "")
-    found = found.withColumn("_before", before).withColumn("_piece", F.element_at("_pieces", F.col("match_ord") + 1))
-    found = found.withColumn("match", F.substring_index("_piece", END, 1))
-    after = F.translate(F.array_join(F.slice("_pieces", F.col("match_ord") + 1, F.size("_pieces")), ""), END, "")
-    # Cut at the last separator, not by a pattern anchored at the end, which would try every start.
-    line_text = F.concat(F.substring_index("_before", "\n", -1), F.substring_index(after, "\n", 1))
-    clause = F.substring_index(F.translate("_before", ".;:!?", "\n\n\n\n\n"), "\n", -1)
+    found = found.withColumn("_pieces", pieces).drop("_text")
+    each = F.arrays_zip(_before("_pieces").alias("before"), _after("_pieces").alias("after"), F.slice("_pieces", 2, F.size("_pieces")).alias("piece"))
+    found = found.withColumn("_each", each).drop("_pieces").select("*", F.posexplode("_each").alias("_pos", "_at")).drop("_each")
+    match_ord, match = (F.col("_pos") + 1).alias("match_ord"), F.substring_index("_at.piece", END, 1).alias("match")
     return found.select(
         *[c for c in df.columns if c != text],
         "rule",
         "pattern_ord",
-        "match_ord",
-        (F.length("_before") - F.length(F.replace("_before", F.lit("\n"))) + 1).alias("line"),
-        clause.alias("clause"),
-        line_text.alias("line_text"),
-        "match",
+        match_ord,
+        F.col("_at.before.line").alias("line"),
+        F.col("_at.before.clause").alias("clause"),
+        F.concat("_at.before.tail", "_at.after").alias("line_text"),
+        match,
     )

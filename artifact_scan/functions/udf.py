@@ -10,15 +10,15 @@ from pyspark.sql import functions as F
 
 
 def on_text(kind: str) -> Callable[[Callable], Callable[[str], Column]]:
-    """Decorates a function of one text; it becomes a function from a column's name to an expression of type ``kind``."""
+    """Decorates a function of one text and more arguments; it becomes a function from a column's name and those to an expression of type ``kind``."""
 
     def wrap(f: Callable) -> Callable[[str], Column]:
-        def expression(column: str) -> Column:
+        def expression(column: str, *more) -> Column:
             def run(text: pd.Series) -> pd.Series:
-                return text.map(lambda t: f(t or ""))
+                return text.map(lambda t: f(t or "", *more))
 
             def run_struct(text: pd.Series) -> pd.DataFrame:
-                return pd.DataFrame([f(t or "") for t in text], columns=[c.split(":")[0] for c in kind[7:-1].split(",")])
+                return pd.DataFrame([f(t or "", *more) for t in text], columns=[c.split(":")[0] for c in kind[7:-1].split(",")])
 
             run.__annotations__ = {"text": pd.Series, "return": pd.Series}
             run_struct.__annotations__ = {"text": pd.Series, "return": pd.DataFrame}

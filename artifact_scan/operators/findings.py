@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from artifact_scan.config import CONFIDENCE_FACTOR, DEFAULT, SEVERITIES, SEVERITY_WEIGHT
+from artifact_scan.config import CONFIDENCE_FACTOR, DEFAULT, SEVERITIES, SEVERITY_WEIGHT, Config
 from artifact_scan.functions.text import clip, confidence_rank, severity_rank
 
 COLUMNS = (
@@ -22,7 +22,7 @@ def seq(layer: int, section: int, file_parts: Column, *order: Column | int) -> C
     )
 
 
-def make(df: DataFrame, *, order: Column, rule: Column, category, severity, confidence, file: Column, line: Column | None, evidence: Column, risk, remediation, layer: str, suffix: str = "", language=None, raised_by=None) -> DataFrame:
+def make(df: DataFrame, *, order: Column, rule: Column, category, severity, confidence, file: Column, line: Column | None, evidence: Column, risk, remediation, layer: str, suffix: str = "", language=None, raised_by=None, config: Config = DEFAULT) -> DataFrame:
     """Findings from rows; plain strings stand for literals."""
     lit = lambda x: x if isinstance(x, Column) else F.lit(x).cast("string")
     line = F.lit(None).cast("int") if line is None else line.cast("int")
@@ -36,7 +36,7 @@ def make(df: DataFrame, *, order: Column, rule: Column, category, severity, conf
         lit(confidence).alias("confidence"),
         file.alias("file"),
         line.alias("line"),
-        clip(evidence, DEFAULT.evidence).alias("evidence"),
+        clip(evidence, config.evidence).alias("evidence"),
         lit(risk).alias("risk"),
         lit(remediation).alias("remediation"),
         F.lit(layer).alias("source_layer"),

@@ -8,7 +8,7 @@ import random
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from artifact_scan.config import CATEGORIES, CONFIDENCES, DEFAULT, SEVERITIES
+from artifact_scan.config import CATEGORIES, CONFIDENCES, DEFAULT, SEVERITIES, Config
 from artifact_scan.functions.regex import to_java
 from artifact_scan.functions.text import confidence_rank, severity_rank
 from artifact_scan.functions.udf import on_text
@@ -29,15 +29,26 @@ CONFIDENCE_WORDS = {"certain": "high", "very_high": "high", "likely": "medium",
 REPLY = "array<struct<category:string,severity:string,confidence:string,evidence:string,risk:string,remediation:string,language:string,file:string,line:int>>"
 
 
-def data_block(content: Column, nonce: str) -> Column:
+def _noted(text: str, nonce: Column) -> Column:
+    return F.replace(F.lit(text.format("%nonce%")), F.lit("%nonce%"), nonce)
+
+
+def data_block(content: Column, nonce: Column) -> Column:
     """The content between fences that it cannot close."""
-    return F.concat(F.lit(OPEN.format(nonce) + "\n"), F.translate(content, "⟦⟧", "[]"), F.lit("\n" + CLOSE.format(nonce)))
+    return F.concat(_noted(OPEN, nonce), F.lit("\n"), F.translate(content, "⟦⟧", "[]"), F.lit("\n"), _noted(CLOSE, nonce))
 
 
 def spoofed(content: Column) -> Column:
     return content.rlike(to_java(SPOOF))
 
 
+def requests(primary: DataFrame, nonce: Column) -> DataFrame:
+    """(bundle_id, nonce, system, user): what a reviewer is sent for each primary text; ``nonce`` must be new for each bundle."""
+    rows = primary.select("bundle_id", nonce.alias("nonce"), F.coalesce("text", F.lit("")).alias("text"))
+    system = F.replace(F.lit(system_prompt("%nonce%")), F.lit("%nonce%"), F.col("nonce"))
+    return rows.select("bundle_id", "nonce", system.alias("system"), data_block(F.col("text"), F.col("nonce")).alias("user"))
+
+
 def system_prompt(nonce: str) -> str:
     """The instruction channel: fixed text and the nonce, nothing of what is reviewed."""
     return (
@@ -123,7 +134,7 @@ def votes(replies: DataFrame) -> DataFrame:
     return rows.select("bundle_id", "judge_seq", "model_id", F.posexplode("found").alias("item", "f")).select("bundle_id", "judge_seq", "model_id", "item", "f.*")
 
 
-def aggregate(found: DataFrame, primary: DataFrame, min_votes: int = DEFAULT.min_votes) -> DataFrame:
+def aggregate(found: DataFrame, primary: DataFrame, config: Config = DEFAULT) -> DataFrame:
     """Findings of places that enough items of at least medium confidence name; the strongest item speaks, the first of equals."""
     rows = found.join(primary.select("bundle_id", "primary_path"), "bundle_id").withColumn("file", F.coalesce("file", "primary_path"))
     counted = confidence_rank(F.col("confidence")) >= 1
@@ -131,17 +142,17 @@ def aggregate(found: DataFrame, primary: DataFrame, min_votes: int = DEFAULT.min
     out = rows.groupBy("bundle_id", "category", "file", "line").agg(
         F.min(item).alias("best"), F.min(F.struct("judge_seq", "item")).alias("first"), F.count_if(counted).alias("votes"), F.array_sort(F.collect_set(F.when(counted, F.col("model_id")))).alias("by")
     )
-    out = out.where(F.col("votes") >= min_votes)
+    out = out.where(F.col("votes") >= config.min_votes)
     b = lambda c: F.col(f"best.{c}")
     return fd.make(
         out, order=fd.seq(5, 0, F.array().cast("array<string>"), F.col("first.judge_seq"), F.col("first.item")), rule=F.concat(F.lit("judge."), "category"), category=F.col("category"), severity=b("severity"), confidence=b("confidence"),
-        file=F.col("file"), line=F.col("line"), evidence=b("evidence"), risk=b("risk"), remediation=b("remediation"), layer="judge", language=b("language"), raised_by=F.array_join("by", ","),
+        file=F.col("file"), line=F.col("line"), evidence=b("evidence"), risk=b("risk"), remediation=b("remediation"), layer="judge", language=b("language"), raised_by=F.array_join("by", ","), config=config,
     )
 
 
-def spoof_findings(primary: DataFrame) -> DataFrame:
+def spoof_findings(primary: DataFrame, config: Config = DEFAULT) -> DataFrame:
     """Primary texts (bundle_id, file, parts, text) that imitate the fence or a system block."""
     return fd.make(
         primary.where(spoofed(F.col("text"))), order=fd.seq(5, 1, F.col("parts")), rule=F.lit("judge.delimiter_spoof"), category="prompt_injection", severity="high", confidence="high", file=F.col("file"), line=None,
-        evidence=F.lit("forged delimiter or system block"), risk="The text tries to leave the data channel.", remediation="Treat the artifact as hostile.", layer="judge",
+        evidence=F.lit("forged delimiter or system block"), risk="The text tries to leave the data channel.", remediation="Treat the artifact as hostile.", layer="judge", config=config,
     )

@@ -6,7 +6,7 @@ import yaml
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from artifact_scan.config import DEFAULT
+from artifact_scan.config import DEFAULT, Config
 from artifact_scan.functions.regex import Pattern, matches, to_java
 from artifact_scan.functions.text import normalized, strip
 from artifact_scan.functions.udf import on_text
@@ -47,7 +47,7 @@ def _too_deep(raw: str, limit: int) -> bool:
     return any(len(line) - len(line.lstrip(" ")) > limit for line in raw.splitlines())
 
 
-def parse_frontmatter(text: str) -> dict:
+def parse_frontmatter(text: str, config: Config = DEFAULT) -> dict:
     """The fixed fields that checks read, with presence kept apart from null."""
     empty = dict.fromkeys(("name", "tools", "model", "context", "agent", "description"))
     out = {"present": False, "malformed": False, "body": text, "raw": None, "has_model": False, "hidden": False, "has_description": False, **empty}
@@ -55,7 +55,7 @@ def parse_frontmatter(text: str) -> dict:
     if cut is None:
         return out
     out |= {"present": True, "malformed": True, "raw": cut[0], "body": cut[1]}
-    if len(cut[0].encode("utf-8", "ignore")) > DEFAULT.max_yaml_bytes or _too_deep(cut[0], DEFAULT.max_yaml_depth):
+    if len(cut[0].encode("utf-8", "ignore")) > config.max_yaml_bytes or _too_deep(cut[0], config.max_yaml_depth):
         return out
     try:
         data = yaml.safe_load(cut[0])
@@ -81,7 +81,7 @@ def parse_frontmatter(text: str) -> dict:
 _frontmatter = on_text(FRONTMATTER)(parse_frontmatter)
 
 
-def with_frontmatter(rows: DataFrame) -> DataFrame:
+def with_frontmatter(rows: DataFrame, config: Config = DEFAULT) -> DataFrame:
     """``fm`` for each text; only texts whose first line is a fence go to Python."""
     fenced = F.col("text").rlike(r"\A[^\S\n]*---[^\S\n]*(\n|\r|\z)")
     plain = F.struct(
@@ -89,7 +89,7 @@ def with_frontmatter(rows: DataFrame) -> DataFrame:
         F.lit(None).cast("string").alias("tools"), F.lit(False).alias("has_model"), F.lit(None).cast("string").alias("model"), F.lit(None).cast("string").alias("context"),
         F.lit(None).cast("string").alias("agent"), F.lit(False).alias("hidden"), F.lit(False).alias("has_description"), F.lit(None).cast("string").alias("description"),
     )
-    return rows.where(fenced).withColumn("fm", _frontmatter("text")).unionByName(rows.where(~fenced).withColumn("fm", plain))
+    return rows.where(fenced).withColumn("fm", _frontmatter("text", config)).unionByName(rows.where(~fenced).withColumn("fm", plain))
 
 
 def _raw() -> Column:
@@ -101,7 +101,7 @@ def broad_tools(tools: Column) -> Column:
     return tools.rlike(to_java(BROAD_BASH)) | tools.rlike(to_java(UNSCOPED_BASH)) | (star == "*") | tools.contains(", *") | F.startswith(star, F.lit("*"))
 
 
-def skill_findings(rows: DataFrame) -> DataFrame:
+def skill_findings(rows: DataFrame, config: Config = DEFAULT) -> DataFrame:
     """The frontmatter checks; ``rows`` are primary documents of skills and agents with ``fm``."""
     fm = lambda c: F.col(f"fm.{c}")
     file, parts = F.col("file"), F.col("parts")
@@ -119,7 +119,7 @@ def skill_findings(rows: DataFrame) -> DataFrame:
     fired = F.array(*(F.when(c, F.struct(F.lit(n).alias("n"), F.lit(rule).alias("rule"), F.lit(cat).alias("category"), F.lit(sev).alias("severity"), F.lit(conf).alias("confidence"), ev.alias("evidence"), F.lit(risk).alias("risk"), F.lit(fix).alias("fix"))) for n, rule, c, cat, sev, conf, ev, risk, fix in checks))
     hit = rows.select("bundle_id", "file", "parts", F.explode(F.filter(fired, lambda x: x.isNotNull())).alias("c"))
     c = lambda x: F.col(f"c.{x}")
-    return fd.make(hit, order=fd.seq(1, 0, parts, c("n")), rule=c("rule"), category=c("category"), severity=c("severity"), confidence=c("confidence"), file=file, line=F.lit(1), evidence=c("evidence"), risk=c("risk"), remediation=c("fix"), layer="manifest")
+    return fd.make(hit, order=fd.seq(1, 0, parts, c("n")), rule=c("rule"), category=c("category"), severity=c("severity"), confidence=c("confidence"), file=file, line=F.lit(1), evidence=c("evidence"), risk=c("risk"), remediation=c("fix"), layer="manifest", config=config)
 
 
 def dynamic_commands(rows: DataFrame) -> DataFrame:
@@ -168,23 +168,23 @@ def imports(primary: DataFrame, files: DataFrame) -> DataFrame:
     return out.select("bundle_id", "b.ord", F.concat(F.lit("@"), "b.token").alias("raw"), "target", "kind", "b.resolved")
 
 
-def import_findings(found: DataFrame, found_primary: DataFrame) -> DataFrame:
+def import_findings(found: DataFrame, found_primary: DataFrame, config: Config = DEFAULT) -> DataFrame:
     """Imports from outside the bundle."""
     rows = found.where("kind <> 'in_tree'").join(found_primary.select("bundle_id", F.col("primary_path").alias("file")), "bundle_id")
     sensitive = F.col("target").rlike(to_java(SENSITIVE))
     risk = F.concat(F.when(F.col("kind") == "remote", "A remote").otherwise("An out-of-tree"), F.lit(" import puts foreign text into what is always loaded."), F.when(sensitive, " Its target is a sensitive path.").otherwise(""))
     order = F.struct(F.lit(1).alias("layer"), F.lit(1).alias("section"), F.array().cast("array<string>").alias("parts"), F.element_at("ord.hop", 1).alias("n0"), F.element_at("ord.hop", 2).alias("n1"), F.col("ord.n").alias("n2"))
-    return fd.make(rows, order=order, rule=F.concat(F.lit("manifest.import_"), "kind"), category="context_poisoning", severity="high", confidence=F.when(sensitive, "high").otherwise("medium"), file=F.col("file"), line=F.lit(1), evidence=F.col("raw"), risk=risk, remediation="Import reviewed files of the bundle only.", layer="manifest")
+    return fd.make(rows, order=order, rule=F.concat(F.lit("manifest.import_"), "kind"), category="context_poisoning", severity="high", confidence=F.when(sensitive, "high").otherwise("medium"), file=F.col("file"), line=F.lit(1), evidence=F.col("raw"), risk=risk, remediation="Import reviewed files of the bundle only.", layer="manifest", config=config)
 
 
-def findings(primary: DataFrame) -> DataFrame:
+def findings(primary: DataFrame, config: Config = DEFAULT) -> DataFrame:
     """All checks of ``primary`` (bundle_id, kind, file, parts, is_doc, text): skills and agents that are documents."""
-    rows = with_frontmatter(primary.where("kind in ('skill', 'agents') and is_doc and text is not null"))
+    rows = with_frontmatter(primary.where("kind in ('skill', 'agents') and is_doc and text is not null"), config)
     dynamic, arguments = dynamic_commands(rows), arguments_in_shell(rows)
     order = F.struct(F.lit(1).alias("layer"), F.lit(0).alias("section"), F.col("parts"), F.lit(2).alias("n0"), F.col("surface").alias("n1"), F.col("match_ord").alias("n2"))
     execution = "command_execution"
     return (
-        skill_findings(rows)
-        .unionByName(fd.make(dynamic, order=order, rule=F.lit("manifest.dynamic_command"), category=execution, severity="critical", confidence="high", file=F.col("file"), line=F.col("line"), evidence=F.col("match"), risk="The directive runs a command while the skill loads.", remediation="Do not run commands from the document.", layer="manifest"))
-        .unionByName(fd.make(arguments, order=fd.seq(1, 0, F.col("parts"), 3), rule=F.lit("manifest.arguments_in_shell"), category=execution, severity="high", confidence="medium", file=F.col("file"), line=F.col("line"), evidence=F.col("line_text"), risk="User input is put into a shell command.", remediation="Check arguments and pass them without a shell.", layer="manifest"))
+        skill_findings(rows, config)
+        .unionByName(fd.make(dynamic, order=order, rule=F.lit("manifest.dynamic_command"), category=execution, severity="critical", confidence="high", file=F.col("file"), line=F.col("line"), evidence=F.col("match"), risk="The directive runs a command while the skill loads.", remediation="Do not run commands from the document.", layer="manifest", config=config))
+        .unionByName(fd.make(arguments, order=fd.seq(1, 0, F.col("parts"), 3), rule=F.lit("manifest.arguments_in_shell"), category=execution, severity="high", confidence="medium", file=F.col("file"), line=F.col("line"), evidence=F.col("line_text"), risk="User input is put into a shell command.", remediation="Check arguments and pass them without a shell.", layer="manifest", config=config))
     )

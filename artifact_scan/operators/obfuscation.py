@@ -7,7 +7,7 @@ import binascii
 import re
 import unicodedata
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from artifact_scan.config import DEFAULT, Config
@@ -57,11 +57,11 @@ def blobs(text: str, config: Config = DEFAULT) -> list[dict]:
 _blobs = on_text("array<struct<encoding:string,text:string,snippet:string,depth:int>>")(blobs)
 
 
-def decoded(rows: DataFrame) -> DataFrame:
+def decoded(rows: DataFrame, config: Config = DEFAULT) -> DataFrame:
     """(…, n, encoding, text, snippet, depth) of texts with payloads; only texts with a candidate go to Python."""
     some = rows.where(F.col("text").rlike(BASE64) | F.col("text").rlike(HEX))
     keep = [c for c in rows.columns if c != "text"]
-    return some.select(*keep, F.posexplode(_blobs("text")).alias("n", "blob")).select(*keep, "n", "blob.*")
+    return some.select(*keep, F.posexplode(_blobs("text", config)).alias("n", "blob")).select(*keep, "n", "blob.*")
 
 
 def candidates(rows: DataFrame) -> DataFrame:
@@ -96,7 +96,7 @@ def anomalies(rows: DataFrame) -> DataFrame:
     return rows.select(*keep, F.explode(found).alias("a")).select(*keep, "a.rule", "a.line").where("line is not null")
 
 
-def findings(rows: DataFrame, rules: list[Rule]) -> DataFrame:
+def findings(rows: DataFrame, rules: list[Rule], config: Config = DEFAULT) -> DataFrame:
     """All checks of (bundle_id, kind, file, section, parts, surface, text); references are information only, scripts only decoded."""
     order = lambda *n: F.struct(F.lit(3).alias("layer"), "section", "parts", *((x if not isinstance(x, int) else F.lit(x)).cast("int").alias(f"n{i}") for i, x in enumerate(n)))
     native = lambda s: F.when(F.col("surface") == "reference", "info").otherwise(s)
@@ -106,28 +106,29 @@ def findings(rows: DataFrame, rules: list[Rule]) -> DataFrame:
     bidi = F.col("rule") == "obfuscation.bidi_override"
     out = fd.make(
         odd, order=order(0, F.when(bidi, 1).otherwise(0), 0), rule=F.col("rule"), category=obf, severity=native(F.when(bidi, "high").otherwise("medium")), confidence="high", file=file, line=F.col("line"),
-        evidence=F.when(bidi, "direction-changing characters").otherwise("invisible characters"), risk=F.when(bidi, "Shown and parsed text differ.").otherwise("Text can be hidden from readers."), remediation="Remove the characters.", layer=obf,
+        evidence=F.when(bidi, "direction-changing characters").otherwise("invisible characters"), risk=F.when(bidi, "Shown and parsed text differ.").otherwise("Text can be hidden from readers."), remediation="Remove the characters.", layer=obf, config=config,
     )
     mixed = prose.where(F.col("text").rlike(r"[^\x00-\x{36F}]")).withColumn("token", _mixed("text")).where("token is not null")
     out = out.unionByName(
         fd.make(mixed, order=order(0, 2, 0), rule=F.lit("obfuscation.script_mixing"), category=obf, severity=native("medium"), confidence="medium", file=file, line=F.lit(1),
-                evidence=F.concat(F.lit("mixed-script token: "), "token"), risk="Letters of several scripts imitate a trusted word.", remediation="Use one script in a word.", layer=obf)
+                evidence=F.concat(F.lit("mixed-script token: "), "token"), risk="Letters of several scripts imitate a trusted word.", remediation="Use one script in a word.", layer=obf, config=config)
     )
-    found = decoded(rows)
+    found = decoded(rows, config)
     out = out.unionByName(
         fd.make(found, order=order(1, F.col("n"), 0), rule=F.lit("obfuscation.encoded_payload"), category=obf, severity="info", confidence="medium", file=file, line=F.lit(1),
-                evidence=F.concat("encoding", F.lit(" payload: "), "snippet"), risk="Encoded text escapes review.", remediation="Ship content in the clear.", layer=obf)
+                evidence=F.concat("encoding", F.lit(" payload: "), "snippet"), risk="Encoded text escapes review.", remediation="Ship content in the clear.", layer=obf, config=config)
     )
     inner = found.select("bundle_id", "kind", "file", "section", "parts", F.col("n").alias("blob"), "encoding", F.lit("body").alias("surface"), "text")
     marked = lambda c: F.concat(F.lit("("), "encoding", F.lit("-decoded) "), c)
     shell = scripts.signature_columns(scripts.signature_matches(inner).unionByName(scripts.fallback(inner).withColumn("match_ord", F.lit(1)).drop("text"), allowMissingColumns=True))
     out = out.unionByName(
         fd.make(shell, order=order(1, F.col("blob"), F.col("rule") + 1), rule=F.col("rule_id"), category="command_execution", severity=F.col("severity"), confidence="high", file=file, line=F.col("line"),
-                evidence=marked("match"), risk=F.col("risk"), remediation=scripts.FIX, layer=obf, suffix=".decoded")
+                evidence=marked("match"), risk=F.col("risk"), remediation=scripts.FIX, layer=obf, suffix=".decoded", config=config)
     )
     told = rule_table(rule_matches(inner, rules), rules)
-    again = 100 + F.col("rule") * 10_000 + F.col("pattern_ord") * 1_000 + F.col("match_ord")
+    # Rule, pattern and match in the order of a rule file, after the shell signatures; no number of matches runs over.
+    told = told.withColumn("again", F.dense_rank().over(Window.partitionBy("bundle_id", "file", "blob").orderBy("rule", "pattern_ord", "match_ord")) + 99)
     return out.unionByName(
-        fd.make(told, order=order(1, F.col("blob"), again), rule=F.concat("rule_id", F.lit(".decoded")), category=F.col("category"), severity=F.col("rule_severity"), confidence=F.col("confidence"), file=file,
-                line=F.lit(1), evidence=marked("line_text"), risk=F.col("risk"), remediation=F.col("remediation"), layer=obf, language=F.col("rule_language"))
+        fd.make(told, order=order(1, F.col("blob"), F.col("again")), rule=F.concat("rule_id", F.lit(".decoded")), category=F.col("category"), severity=F.col("rule_severity"), confidence=F.col("confidence"), file=file,
+                line=F.lit(1), evidence=marked("line_text"), risk=F.col("risk"), remediation=F.col("remediation"), layer=obf, language=F.col("rule_language"), config=config)
     )

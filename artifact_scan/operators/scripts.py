@@ -10,6 +10,7 @@ import warnings
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from artifact_scan.config import DEFAULT, Config
 from artifact_scan.functions.regex import Pattern, matches
 from artifact_scan.functions.udf import on_text
 from artifact_scan.operators import findings as fd
@@ -114,11 +115,11 @@ def _calls(text: str) -> list[dict]:
     return [{"rule": r, "severity": s, "line": n, "evidence": e} for r, s, n, e in python_calls(text)]
 
 
-def _shell(rows: DataFrame) -> DataFrame:
+def _shell(rows: DataFrame, config: Config) -> DataFrame:
     found = signature_columns(signature_matches(rows))
     return fd.make(
         found, order=fd.seq(2, 0, F.col("parts"), F.col("rule")), rule=F.col("rule_id"), category="command_execution", severity=F.col("severity"),
-        confidence="high", file=F.col("file"), line=F.col("line"), evidence=F.col("match"), risk=F.col("risk"), remediation=FIX, layer="ast_shell",
+        confidence="high", file=F.col("file"), line=F.col("line"), evidence=F.col("match"), risk=F.col("risk"), remediation=FIX, layer="ast_shell", config=config,
     )
 
 
@@ -129,21 +130,21 @@ def fallback(rows: DataFrame) -> DataFrame:
     return maybe.withColumn("match", _pipeline("text")).where("match is not null").withColumn("rule", F.lit(PIPE)).withColumn("line", F.lit(1))
 
 
-def findings(parts: DataFrame) -> DataFrame:
+def findings(parts: DataFrame, config: Config = DEFAULT) -> DataFrame:
     """Shell and Python files; other languages have no findings here."""
     code = parts.where("executable and text is not null").select("bundle_id", F.col("path").alias("file"), "parts", "language", "text")
     shell = code.where("language = 'shell'").drop("language")
     more = signature_columns(fallback(shell))
-    out = _shell(shell).unionByName(
+    out = _shell(shell, config).unionByName(
         fd.make(
             more, order=fd.seq(2, 0, F.col("parts"), 99), rule=F.col("rule_id"), category="command_execution", severity=F.col("severity"), confidence="high",
-            file=F.col("file"), line=F.col("line"), evidence=F.col("match"), risk=F.col("risk"), remediation=FIX, layer="ast_shell",
+            file=F.col("file"), line=F.col("line"), evidence=F.col("match"), risk=F.col("risk"), remediation=FIX, layer="ast_shell", config=config,
         )
     )
     calls = code.where("language = 'python'").select("bundle_id", "file", "parts", F.posexplode(_calls("text")).alias("n", "call"))
     taint = F.col("call.rule") == "taint.source_to_network"
     calls = calls.withColumn("taint", taint)
-    common = dict(rule=F.col("call.rule"), severity=F.col("call.severity"), file=F.col("file"), line=F.col("call.line"), evidence=F.col("call.evidence"))
+    common = dict(rule=F.col("call.rule"), severity=F.col("call.severity"), file=F.col("file"), line=F.col("call.line"), evidence=F.col("call.evidence"), config=config)
     order = fd.seq(2, 0, F.col("parts"), F.col("n"))
     return out.unionByName(
         fd.make(calls.where("not taint"), order=order, category="command_execution", confidence="high", risk="The call runs a shell or code from text.", remediation="Avoid the call, or pass fixed arguments without a shell.", layer="ast_python", **common)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from artifact_scan.config import DEFAULT, Config
 from artifact_scan.functions.regex import Pattern, matches, to_java
 from artifact_scan.functions.text import escalate
 from artifact_scan.operators import findings as fd
@@ -46,7 +47,7 @@ def rule_matches(rows: DataFrame, rules: list[Rule]) -> DataFrame:
 
 def rule_table(found: DataFrame, rules: list[Rule]) -> DataFrame:
     """Matches with their rule's columns; the corpus is a fixed list, so the join is a broadcast."""
-    rows = [(i, r.id, r.category, r.severity, r.confidence, r.description, r.remediation, r.language, r.escalate) for i, r in enumerate(rules)]
+    rows = [(i, r.id, r.category, r.severity, r.confidence, r.description, r.remediation, r.language, r.escalate_for_claude_md) for i, r in enumerate(rules)]
     schema = "rule int, rule_id string, category string, rule_severity string, confidence string, risk string, remediation string, rule_language string, escalates boolean"
     return found.join(F.broadcast(found.sparkSession.createDataFrame(rows, schema)), "rule")
 
@@ -60,7 +61,7 @@ def adjusted_severity():
     )
 
 
-def findings(rows: DataFrame, rules: list[Rule]) -> DataFrame:
+def findings(rows: DataFrame, rules: list[Rule], config: Config = DEFAULT) -> DataFrame:
     found = rule_table(rule_matches(rows, rules), rules)
     order = F.struct(
         F.lit(0).alias("layer"), F.col("section"), F.col("parts"), F.col("rule").alias("n0"), F.col("pattern_ord").alias("n1"), F.col("match_ord").alias("n2")
@@ -68,7 +69,7 @@ def findings(rows: DataFrame, rules: list[Rule]) -> DataFrame:
     return fd.make(
         found, order=order, rule=F.col("rule_id"), category=F.col("category"), severity=adjusted_severity(), confidence=F.col("confidence"),
         file=F.col("file"), line=F.col("line"), evidence=F.col("line_text"), risk=F.col("risk"), remediation=F.col("remediation"),
-        layer="static_rules", language=F.col("rule_language"),
+        layer="static_rules", language=F.col("rule_language"), config=config,
     )
 
 

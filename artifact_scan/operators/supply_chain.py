@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import tomllib
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from artifact_scan.config import POPULAR
+from artifact_scan.config import DEFAULT, POPULAR, Config
 from artifact_scan.functions.regex import Pattern, matches
 from artifact_scan.functions.text import basename, strip
 from artifact_scan.functions.udf import on_text
@@ -57,8 +57,24 @@ def dependencies(files: DataFrame) -> DataFrame:
 
 
 def advisory_matches(deps: DataFrame, advisories: DataFrame) -> DataFrame:
-    """Versioned dependencies with each advisory (dep_key, advisory_id) on them."""
-    return deps.where("version is not null and version <> ''").join(advisories.select("dep_key", "advisory_id"), "dep_key")
+    """Versioned dependencies with each advisory (dep_key, advisory_id[, ordinal]) on them.
+
+    Without an ordinal, the advisories of one dependency are ordered by their ids.
+    """
+    if "ordinal" not in advisories.columns:
+        order = Window.partitionBy("dep_key").orderBy("advisory_id")  # the few advisories of one release
+        advisories = advisories.withColumn("ordinal", F.row_number().over(order))
+    return deps.where("version is not null and version <> ''").join(advisories.select("dep_key", "advisory_id", F.col("ordinal").cast("int").alias("ordinal")), "dep_key")
+
+
+def batch_results(batches: DataFrame) -> DataFrame:
+    """(dep_key, advisory_id, ordinal) of (queries array<string>, results array<array<string>>): the n-th result answers the n-th query.
+
+    A reply with another number of results than queries fails the job: nothing tells which belong together.
+    """
+    same = F.assert_true(F.size("queries") == F.size("results"), "a reply must have a result for each query")
+    rows = batches.where(same.isNull()).select(F.explode(F.arrays_zip("queries", "results")).alias("z"))
+    return rows.select(F.col("z.queries").alias("dep_key"), F.posexplode("z.results").alias("ordinal", "advisory_id")).select("dep_key", "advisory_id", "ordinal")
 
 
 def typosquats(deps: DataFrame) -> DataFrame:
@@ -76,28 +92,29 @@ def mutable_refs(parts: DataFrame) -> DataFrame:
     return matches(rows, "text", [Pattern(0, 0, MUTABLE)]).where("match_ord = 1")
 
 
-def findings(parts: DataFrame, advisories: DataFrame | None, unavailable: str | None = None) -> DataFrame:
+def findings(parts: DataFrame, advisories: DataFrame | None, unavailable: str | None = None, config: Config = DEFAULT) -> DataFrame:
     """``advisories`` None means that the service was not asked; ``unavailable`` tells why it did not answer."""
     chain, file, line = "supply_chain", F.col("file"), F.col("line")
     refs = mutable_refs(parts)
-    out = fd.make(refs, order=fd.seq(4, 0, F.col("parts")), rule=F.lit("supply.mutable_ref"), category=chain, severity="medium", confidence="medium", file=file, line=line, evidence=F.col("match"), risk="What is downloaded can change after review.", remediation="Pin to a commit.", layer=chain)
+    out = fd.make(refs, order=fd.seq(4, 0, F.col("parts")), rule=F.lit("supply.mutable_ref"), category=chain, severity="medium", confidence="medium", file=file, line=line, evidence=F.col("match"), risk="What is downloaded can change after review.", remediation="Pin to a commit.", layer=chain, config=config)
     deps = dependencies(parts)
     order = lambda s: fd.seq(4, s, F.col("parts"), F.col("section"), F.col("n"))
     squats = typosquats(deps)
     out = out.unionByName(
         fd.make(squats, order=order(1), rule=F.concat(F.lit("supply.typosquat."), "name"), category=chain, severity="medium", confidence="low", file=file, line=line,
-                evidence=F.concat("name", F.lit(" (looks like "), "popular", F.lit(")")), risk="The name imitates a popular package.", remediation="Check the package's name.", layer=chain)
+                evidence=F.concat("name", F.lit(" (looks like "), "popular", F.lit(")")), risk="The name imitates a popular package.", remediation="Check the package's name.", layer=chain, config=config)
     )
     if unavailable is not None:
         rows = parts.where("is_primary").select("bundle_id", "parts", F.col("path").alias("file"))
         out = out.unionByName(
-            fd.make(rows, order=fd.seq(4, 2, F.col("parts")), rule=F.lit("supply.osv_unavailable"), category=chain, severity="info", confidence="low", file=file, line=None, evidence=F.lit(unavailable[:120]), risk="Dependencies were not checked for known flaws.", remediation="Scan again when the advisories can be read.", layer=chain)
+            fd.make(rows, order=fd.seq(4, 2, F.col("parts")), rule=F.lit("supply.osv_unavailable"), category=chain, severity="info", confidence="low", file=file, line=None, evidence=F.lit(unavailable[:120]), risk="Dependencies were not checked for known flaws.", remediation="Scan again when the advisories can be read.", layer=chain, config=config)
         )
     if advisories is not None and unavailable is None:
         hit = advisory_matches(deps, advisories)
-        order_ = F.struct(F.lit(4).alias("layer"), F.lit(3).alias("section"), "parts", F.col("section").alias("n0"), F.col("n").cast("int").alias("n1"), F.hash("advisory_id").alias("n2"))
+        # Section, place in the file and place among the advisories make one number each.
+        order_ = fd.seq(4, 3, F.col("parts"), F.col("section"), F.col("n"), F.col("ordinal"))
         out = out.unionByName(
             fd.make(hit, order=order_, rule=F.concat(F.lit("supply.osv_vuln."), "name"), category=chain, severity="high", confidence="high", file=file, line=line,
-                    evidence=F.concat("name", F.lit("=="), "version", F.lit(" → "), "advisory_id"), risk=F.concat(F.lit("A known flaw: "), "advisory_id"), remediation="Upgrade to a corrected version.", layer=chain)
+                    evidence=F.concat("name", F.lit("=="), "version", F.lit(" → "), "advisory_id"), risk=F.concat(F.lit("A known flaw: "), "advisory_id"), remediation="Upgrade to a corrected version.", layer=chain, config=config)
         )
     return out

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, fields
 from pathlib import Path
 
 import yaml
@@ -25,7 +25,7 @@ class Rule:
     patterns: tuple[str, ...]
     surfaces: tuple[str, ...] = ("any",)
     kinds: tuple[str, ...] = ("any",)
-    escalate: bool = False
+    escalate_for_claude_md: bool = False
     negatable: bool = False
     language: str | None = None
 
@@ -34,10 +34,11 @@ class Rule:
 
 
 def load(path: Path = CORPUS) -> list[Rule]:
-    """The rules of a file, or of all ``*.yaml`` files of a folder in the order of their names."""
+    """The rules of a file, or of all ``*.yaml`` files of a folder in the order of their names; other keys are ignored."""
     files = sorted(path.glob("*.yaml")) if path.is_dir() else [path]
     entries = [e for f in files for e in yaml.safe_load(f.read_text(encoding="utf-8")) or []]
-    return [Rule(**{k: tuple(v) if isinstance(v, list) else v for k, v in e.items()}) for e in entries]
+    known = {f.name for f in fields(Rule)}
+    return [Rule(**{k: tuple(v) if isinstance(v, list) else v for k, v in e.items() if k in known}) for e in entries]
 
 
 def patterns(rules: list[Rule]) -> list[Pattern]:

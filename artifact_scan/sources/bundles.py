@@ -1,5 +1,8 @@
 """Bundles of files as DataFrames: (bundle_id, path, text), from texts, archives, folders or tables.
 
+Every source returns (files, errors): a bundle over a limit, or that cannot be read, has a
+row (bundle_id, error) among the errors and none among the files.
+
 ``bundles`` tables, optional everywhere, hold a row a bundle: bundle_id, and any of
 declared_filename, primary_path and git_metadata (map<string,string>).
 """
@@ -27,22 +30,47 @@ def text_name(declared: Column, hint: Column) -> Column:
     return F.coalesce(safe_basename(declared), F.try_element_at(table, hint), F.lit("PASTED.md"))
 
 
-def from_texts(df: DataFrame, config: Config = DEFAULT) -> DataFrame:
-    """One file a row of (bundle_id, text[, declared_filename, kind_hint]); texts over the size limit are left out."""
+def route(name: Column) -> Column:
+    """How a submitted file is read: archives by their name, anything else as a text of that name."""
+    return F.when(F.endswith(F.lower(name), F.lit(".zip")), "zip").otherwise("text")
+
+
+def enforce(files: DataFrame, size: Column, config: Config = DEFAULT) -> tuple[DataFrame, DataFrame]:
+    """``files`` of the bundles within the limits on files and bytes, and the errors of the others."""
+    each = size > config.max_file_bytes
+    sums = files.groupBy("bundle_id").agg(F.count("*").alias("n"), F.sum(size).alias("bytes"), F.max(each).alias("large"))
+    error = F.when(F.col("n") > config.max_files, "too many files").when(F.col("large"), "file too large").when(F.col("bytes") > config.max_total_bytes, "bundle too large")
+    errors = sums.select("bundle_id", error.alias("error")).where("error is not null")
+    return files.join(errors.select("bundle_id"), "bundle_id", "left_anti"), errors
+
+
+def from_texts(df: DataFrame, config: Config = DEFAULT) -> tuple[DataFrame, DataFrame]:
+    """One file a row of (bundle_id, text[, declared_filename, kind_hint])."""
     for name in ("declared_filename", "kind_hint"):
         if name not in df.columns:
             df = df.withColumn(name, F.lit(None).cast("string"))
-    small = F.octet_length("text") <= config.max_total_bytes
-    return df.where(small).select("bundle_id", text_name(F.col("declared_filename"), F.col("kind_hint")).alias("path"), "text")
+    large = F.octet_length("text") > config.max_total_bytes
+    files = df.where(F.coalesce(~large, F.lit(True))).select("bundle_id", text_name(F.col("declared_filename"), F.col("kind_hint")).alias("path"), F.coalesce("text", F.lit("")).alias("text"))
+    return files, df.where(large).select("bundle_id", F.lit("text too large").alias("error"))
+
 
+def _texts(df: DataFrame, config: Config) -> DataFrame:
+    """(bundle_id, path, content) with contents read as bounded, lossy UTF-8."""
+    return df.select("bundle_id", "path", lossy(F.col("content"), config.max_file_bytes).alias("text"))
 
-def from_binary(df: DataFrame, config: Config = DEFAULT) -> DataFrame:
-    """(bundle_id, path, content) with contents read as bounded, lossy UTF-8, ignored folders left out."""
-    ignored = F.exists(parts(F.col("path")), lambda p: p.isin(*IGNORED_DIRS))
-    return df.where(~ignored).select("bundle_id", "path", lossy(F.col("content"), config.max_file_bytes).alias("text"))
 
+def _listed(df: DataFrame) -> DataFrame:
+    """Files outside the ignored folders."""
+    return df.where(~F.exists(parts(F.col("path")), lambda p: p.isin(*IGNORED_DIRS)))
 
-def from_directory(spark: SparkSession, root: str, config: Config = DEFAULT) -> DataFrame:
+
+def from_binary(df: DataFrame, config: Config = DEFAULT) -> tuple[DataFrame, DataFrame]:
+    """(bundle_id, path, content) files, ignored folders left out."""
+    files, errors = enforce(_listed(df.select("bundle_id", "path", "content")), F.octet_length("content"), config)
+    return _texts(files, config), errors
+
+
+def from_directory(spark: SparkSession, root: str, config: Config = DEFAULT) -> tuple[DataFrame, DataFrame]:
     """Checked-out bundles below ``root``: its first folder level names the bundle."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", "content")
     tail = F.substring_index(F.col("path"), root.rstrip("/").split("://")[-1] + "/", -1)
@@ -97,11 +125,8 @@ def from_zips(df: DataFrame, config: Config = DEFAULT) -> tuple[DataFrame, DataF
                     schema=pa.schema([("bundle_id", pa.string()), ("path", pa.string()), ("content", pa.binary()), ("error", pa.string())]),
                 )
 
-    out = df.select(F.col("bundle_id").cast("string"), "content").mapInArrow(run, "bundle_id string, path string, content binary, error string")
-    return from_binary(out.where("path is not null").drop("error"), config), out.where("error is not null").select("bundle_id", "error").distinct()
-
-
-def over_limits(files: DataFrame, config: Config = DEFAULT) -> DataFrame:
-    """Bundles with too many files or bytes: (bundle_id, n_files, n_bytes)."""
-    sums = files.groupBy("bundle_id").agg(F.count("*").alias("n_files"), F.sum(F.octet_length("text")).alias("n_bytes"))
-    return sums.where((F.col("n_files") > config.max_files) | (F.col("n_bytes") > config.max_total_bytes))
+    small = F.coalesce(F.octet_length("content") <= config.max_total_bytes, F.lit(True))
+    large = df.where(~small).select(F.col("bundle_id").cast("string"), F.lit("archive too large").alias("error"))
+    out = df.where(small).select(F.col("bundle_id").cast("string"), "content").mapInArrow(run, "bundle_id string, path string, content binary, error string")
+    errors = out.where("error is not null").select("bundle_id", "error").distinct().unionByName(large)
+    return _texts(_listed(out.where("path is not null").select("bundle_id", "path", "content")), config), errors
