@@ -1,9 +1,17 @@
 """Quality rules: rule statistics of whole texts and an isolation forest over them.
 
-The forest isolates a document's statistics by random splits; documents that need few
-splits are anomalous.  It is grown from labelled good rows that pass the base rules, and the threshold on its
-score is the one that separates labelled good from labelled bad rows best while it
-rejects at most ``MAX_FALSE`` of the good ones.  Growing and calibrating use at most
+Statistics become rates: counts over a text's words, characters or lines, with one count
+and a few words more than were seen.  A count of a short text says little, so each tree is
+grown on rates drawn from what the counts allow (a gamma distribution for each), not on the
+bare quotients.  Trees split a random statistic at a random place between a node's least and
+greatest values.  A document's path is that of a row put into the tree: where it lies outside
+a node's values, the node's split would have fallen between it and them with the probability
+that the gap has in the range so extended, and would have isolated it there.  The mean of
+that over the trees is exact; documents with short paths are anomalous.
+
+The forest is grown from half of the labelled good rows that pass the base rules; the
+threshold is the one that separates the other half from the labelled bad rows best while
+it rejects at most ``MAX_FALSE`` of the good ones.  Growing and calibrating use at most
 ``MAX_LABELLED`` labelled rows, those with the least hashes of their ids; statistics and
 verdicts cover every row.  Without labelled rows of both kinds only the base rules apply.
 """
@@ -22,7 +30,6 @@ from artifact_scan.llm.words import covered, inside, mix, run_hashes, slices, sp
 
 MAX_LABELLED = 20_000
 TREES, SAMPLE, SEED = 200, 256, 7
-RESOLUTION = 0.02
 MAX_FALSE = 0.002
 MIN_WORDS, MAX_REPEAT_PERCENT, WINDOW = 10, 20, 5
 
@@ -99,48 +106,55 @@ def base_failed(s: dict[str, np.ndarray]) -> np.ndarray:
     return (s["n_words"] < MIN_WORDS) | (100 * s["n_repeat_words"] > MAX_REPEAT_PERCENT * s["n_words"])
 
 
-def features(s: dict[str, np.ndarray]) -> np.ndarray:
-    """Rates, which do not depend on a text's length; a few pseudo-counts damp short texts.
+#: (count, what it is counted in, how much of that is added).
+RATES = (("n_symbols", "word_chars", 200), ("n_upper", "word_chars", 200), ("n_marks", "word_chars", 200), ("n_doubled", "n_words", 30), ("n_dup_lines", "n_lines", 5), ("n_repeat_words", "n_words", 30))
 
-    What the base rules measure already, repeated words and lines, stays out: good texts vary
-    in it up to the rule's limit, and would be isolated for it sooner than bad ones.
-    """
-    words, chars = s["n_words"] + 30.0, s["word_chars"] + 200.0
-    rates = [
-        s["n_symbols"] / chars,
-        np.maximum(s["n_upper"] / chars, 0.06),  # sentences begin with capitals; few of them is no fault
-        s["n_marks"] / chars,
-        s["n_doubled"] / words,
-    ]
-    return np.stack(rates, 1)
+
+def features(s: dict[str, np.ndarray], rng: np.random.Generator | None = None) -> np.ndarray:
+    """The rates and the mean length of a word; with ``rng``, rates drawn from what the counts allow."""
+    count = lambda k: rng.gamma(s[k] + 1.0) if rng is not None else s[k] + 1.0
+    rates = [count(k) / (s[n] + extra) for k, n, extra in RATES]
+    return np.stack([*rates, (s["word_chars"] + 150.0) / (s["n_words"] + 30.0)], 1).astype(np.float32)
 
 
 @dataclass
 class Forest:
-    """Trees as arrays of shape (trees, nodes); a leaf is its own child."""
+    """Trees as arrays of shape (trees, nodes); a leaf is its own child and has no bounds."""
 
     feature: np.ndarray
     split: np.ndarray
+    low: np.ndarray  # the node's least and greatest value of its feature
+    high: np.ndarray
     left: np.ndarray
     right: np.ndarray
-    length: np.ndarray
+    length: np.ndarray  # of a path that ends here
     levels: int
     norm: float
     threshold: float = 2.0
 
-    def score(self, x: np.ndarray) -> np.ndarray:
-        """2 ** (-mean path length / expected length), 0 to 1; high is anomalous."""
+    def paths(self, x: np.ndarray) -> np.ndarray:
+        """The mean path length of each row."""
         out = np.empty(len(x))
         tree = np.arange(len(self.feature))
         for at in range(0, len(x), 512):
             part = x[at : at + 512]
             row = np.arange(len(part))[:, None]
             node = np.zeros((len(part), len(tree)), np.int64)
-            for _ in range(self.levels):
-                low = part[row, self.feature[tree, node]] < self.split[tree, node]
-                node = np.where(low, self.left[tree, node], self.right[tree, node])
-            out[at : at + 512] = self.length[tree, node].mean(1)
-        return 2.0 ** (-out / self.norm)
+            reached, total = np.ones(node.shape, np.float32), np.zeros(node.shape, np.float32)
+            for level in range(self.levels):
+                value = part[row, self.feature[tree, node]]
+                low, high = self.low[tree, node], self.high[tree, node]
+                gap = np.maximum(low - value, 0) + np.maximum(value - high, 0)
+                apart = gap / (high - low + gap)
+                total += reached * apart * (level + 1)
+                reached *= 1 - apart
+                node = np.where(value < self.split[tree, node], self.left[tree, node], self.right[tree, node])
+            out[at : at + 512] = (total + reached * self.length[tree, node]).mean(1)
+        return out
+
+    def score(self, x: np.ndarray) -> np.ndarray:
+        """2 ** (-mean path length / expected length), 0 to 1; high is anomalous."""
+        return 2.0 ** (-self.paths(x) / self.norm)
 
 
 def _expected(n: int) -> float:
@@ -148,34 +162,39 @@ def _expected(n: int) -> float:
     return 0.0 if n < 2 else 1.0 if n == 2 else 2 * (np.log(n - 1) + 0.5772156649) - 2 * (n - 1) / n
 
 
-def grow(x: np.ndarray, trees: int = TREES, sample: int = SAMPLE, seed: int = SEED) -> Forest:
+def grow(s: dict[str, np.ndarray], trees: int = TREES, sample: int = SAMPLE, seed: int = SEED) -> Forest:
     rng = np.random.default_rng(seed)
-    sample = min(sample, len(x))
-    # Splits may fall a little outside the values seen, which isolates what lies beyond them; rates
-    # that differ by less than RESOLUTION are not told apart reliably.
-    pad = np.maximum(0.02 * (x.max(0) - x.min(0)), RESOLUTION)
+    n = len(s["n_words"])
+    sample = min(sample, n)
     levels = max(1, int(np.ceil(np.log2(max(2, sample)))))
     nodes = 2 ** (levels + 1)
-    feature, cut = np.zeros((trees, nodes), np.int64), np.zeros((trees, nodes))
+    shape = (trees, nodes)
+    feature, cut, length = np.zeros(shape, np.int64), np.zeros(shape, np.float32), np.zeros(shape, np.float32)
+    bounds = np.full(shape, -np.inf, np.float32), np.full(shape, np.inf, np.float32)
     left = np.tile(np.arange(nodes), (trees, 1))
-    right, length = left.copy(), np.zeros((trees, nodes))
+    right = left.copy()
     for t in range(trees):
         free = 1
-        todo = [(0, x[rng.choice(len(x), sample, replace=False)], 0)]
+        chosen = rng.choice(n, sample, replace=False)
+        todo = [(0, features({k: v[chosen] for k, v in s.items()}, rng), 0)]
         while todo:
             node, rows, depth = todo.pop()
-            low, high = (rows.min(0), rows.max(0)) if len(rows) else (np.zeros(x.shape[1]), np.zeros(x.shape[1]))
-            if depth == levels or len(rows) <= 1:
+            low, high = rows.min(0), rows.max(0)
+            wide = np.flatnonzero(high > low)
+            if depth == levels or len(rows) <= 1 or not len(wide):
                 length[t, node] = depth + _expected(len(rows))
                 continue
-            f = int(rng.integers(x.shape[1]))
-            at = rng.uniform(low[f] - pad[f], high[f] + pad[f])
-            feature[t, node], cut[t, node] = f, at
-            left[t, node], right[t, node] = free, free + 1
+            f = int(rng.choice(wide))
+            at = np.float32(rng.uniform(low[f], high[f]))
             below = rows[:, f] < at
+            if not below.any() or below.all():  # the split fell on a bound
+                at = high[f]
+                below = rows[:, f] < at
+            feature[t, node], cut[t, node], bounds[0][t, node], bounds[1][t, node] = f, at, low[f], high[f]
+            left[t, node], right[t, node] = free, free + 1
             todo += [(free, rows[below], depth + 1), (free + 1, rows[~below], depth + 1)]
             free += 2
-    return Forest(feature, cut, left, right, length, levels, max(_expected(sample), 1e-9))
+    return Forest(feature, cut, *bounds, left, right, length, levels, max(_expected(sample), 1e-9))
 
 
 def calibrate(good: np.ndarray, bad: np.ndarray, max_false: float = MAX_FALSE) -> float:
@@ -212,20 +231,24 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED) -> Forest
     # Sorted, as floating-point and random choices must not depend on the order of tasks.
     got = rows.select(F.col("quality").cast("int"), "text").mapInArrow(run, schema).toPandas().sort_values(["quality", *STATISTICS])
     got = got[~base_failed({k: got[k].to_numpy() for k in STATISTICS})]
-    x, quality = features({k: got[k].to_numpy() for k in STATISTICS}), got["quality"].to_numpy()
-    if not (quality == 1).any() or not (quality == 0).any():
+    known, quality = {k: got[k].to_numpy() for k in STATISTICS}, got["quality"].to_numpy()
+    if (quality == 1).sum() < 2 or not (quality == 0).any():
         return None
-    forest = grow(x[quality == 1])
-    scores = forest.score(x)
-    forest.threshold = calibrate(scores[quality == 1], scores[quality == 0])
+    # Every other good row is grown on, the rest and the bad ones set the threshold.
+    grown = np.zeros(len(got), bool)
+    grown[np.flatnonzero(quality == 1)[::2]] = True
+    forest = grow({k: v[grown] for k, v in known.items()})
+    scores = forest.score(features(known))
+    forest.threshold = calibrate(scores[(quality == 1) & ~grown], scores[quality == 0])
     return forest
 
 
 def judge(docs: DataFrame, forest: Forest | None, without: tuple[str, ...] = ()) -> DataFrame:
     """Every row of ``docs``, but for the columns in ``without``, with the statistics, base_failed, anomaly (double) and kept.
 
-    Null and empty texts have no words, so they fail the base rules.  Columns of ``docs`` that
-    have one of these names are replaced; repeated rows get equal verdicts.
+    Null and empty texts have no words, so they fail the base rules; long texts count whole.
+    Columns of ``docs`` that have one of these names are replaced; rows that repeat an id are judged
+    each by its text, repeated rows get equal verdicts, and a score at the threshold is rejected.
     """
     docs = docs.drop(*STATISTICS, *VERDICTS)
     shared = docs.sparkSession.sparkContext.broadcast(forest)

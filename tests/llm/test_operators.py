@@ -84,6 +84,39 @@ def test_quality_statistics(texts):
         assert [int(s[k][i]) for k in quality.STATISTICS[:5]] == brute_statistics(t)
 
 
+def brute_path(forest, t, x, node=0, depth=0):
+    """The mean path length of a row put into a tree, node by node."""
+    if forest.left[t, node] == node:
+        return float(forest.length[t, node])
+    f = forest.feature[t, node]
+    low, high = float(forest.low[t, node]), float(forest.high[t, node])
+    gap = max(low - x[f], x[f] - high, 0.0)
+    apart = gap / (high - low + gap)
+    below = forest.left[t, node] if x[f] < forest.split[t, node] else forest.right[t, node]
+    return apart * (depth + 1) + (1 - apart) * brute_path(forest, t, x, below, depth + 1)
+
+
+def test_isolation_forest():
+    rng = np.random.default_rng(5)
+    s = {k: rng.poisson(30 if k == "n_words" else 150 if k == "word_chars" else 4, 300) for k in quality.STATISTICS}
+    forest = quality.grow(s, trees=7, sample=64)
+    x = quality.features({k: np.concatenate([v[:20], v[:20] * 3, v[:5] * 40, v[:1] * 0]) for k, v in s.items()})
+    assert np.allclose(forest.paths(x), [np.mean([brute_path(forest, t, row.astype(float)) for t in range(7)]) for row in x], rtol=1e-4)
+    for t in range(7):  # splits are plain: strictly within the values of the node's rows
+        inner = forest.left[t] != np.arange(forest.left.shape[1])
+        assert (forest.low[t, inner] <= forest.split[t, inner]).all() and (forest.split[t, inner] <= forest.high[t, inner]).all()
+    # The verdict of the query is the score against the threshold.
+    forest.threshold = float(np.median(forest.score(x)))
+    far = quality.features({k: np.full(1, 3000) if k == "n_symbols" else v[:1] for k, v in s.items()})
+    assert forest.score(far)[0] > forest.score(x[:20]).max()
+
+
+def test_quality_threshold():
+    good, bad = np.linspace(0.3, 0.5, 1001), np.array([0.2, 0.505, 0.6, 0.7])
+    assert 0.49 < quality.calibrate(good, bad, 0.002) < 0.505
+    assert quality.calibrate(good, np.array([0.1]), 0.002) > 0.5
+
+
 def test_quality_verdicts(spark, docs):
     rng, vocab = random.Random(3), vocabulary(3)
     good = [(i, " ".join(rng.choice(vocab) for _ in range(80)), "s") for i in range(120)]
