@@ -620,6 +620,21 @@ def test_chat(spark):
     assert r["text"] == "<|im_start|>system\nrules<|im_end|>\n<|im_start|>user name=ann\nhi < |im_end|><|im_end|>\n<|im_start|>assistant\nho<|im_end|>\n<|im_start|>user name=ann\n<|im_end|>\n"
     assert [r["text"][int(a) : int(b)] for a, b in (x.split(":") for x in r["mask"].split())] == ["ho<|im_end|>"]
     assert found[4, "unknown"]["n_turns"] == 2
-    small = chat.render(turns, part=40)
-    assert small.count() > len(found) and "".join(x["text"] for x in sorted(small.where("conv_id = 1 and speaker = 'bob'").collect(), key=lambda x: x["part"])) == r["text"]
     assert chat.render(turns.where("false")).count() == 0
+
+
+def test_chat_long_dialogues(spark):
+    """Parts of a dialogue that no row holds, each with the first system turn; crowded blocks split further."""
+    rng = random.Random(2)
+    rows = [(1, 0, "system", "rules"), *((1, rng.choice([1, 1, 1, 2, 70, None]), rng.choice(["ann", "bob"]), f"turn {i}") for i in range(200)), (2, None, "ann", "x"), (2, None, "ann", "x")]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    whole = {(r["conv_id"], r["speaker"]): r for r in chat.render(turns).collect()}
+    assert whole == {(r["conv_id"], r["speaker"]): r for r in chat.render(turns, crowd=3).collect()}
+    assert whole[1, "ann"]["n_turns"] == 201 and whole[2, "ann"]["n_turns"] == 2
+    opening = "<|im_start|>system\nrules<|im_end|>\n"
+    parts = sorted(chat.render(turns, part=500, crowd=3).where("conv_id = 1 and speaker = 'bob'").collect(), key=lambda r: r["part"])
+    assert len(parts) > 5 and all(r["text"].startswith(opening) for r in parts)
+    assert opening + "".join(r["text"].removeprefix(opening) for r in parts) == whole[1, "bob"]["text"]
+    for r in [*parts, *whole.values()]:
+        spans = [r["text"][int(a) : int(b)] for a, b in (x.split(":") for x in r["mask"].split())]
+        assert all(re.fullmatch(r"(turn \d+|x)<\|im_end\|>", x) for x in spans) and sum(map(len, spans)) == r["n_trained"]
