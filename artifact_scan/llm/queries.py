@@ -14,6 +14,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_toxicity": toxicity.op3_toxicity,
     "op4_license_scans": licenses.op4_license_scans,
     "op5_url_filters": url_filters.op5_url_filters,
+    "url_aliases": url_filters.url_aliases,
     "op6_mixing": mixing.op6_mixing,
     "op7_sharding": sharding.op7_sharding,
     "op8_chat_formatting": chat.op8_chat_formatting,
@@ -26,6 +27,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op4_license_scans": licenses.oracle_sql(),
         "op5_url_filters": url_filters.ORACLE_SQL,
+        "url_aliases": url_filters.ALIASES_SQL,
         "op6_mixing": mixing.ORACLE_SQL,
         "op7_sharding": sharding.ORACLE_SQL,
         "op8_chat_formatting": chat.ORACLE_SQL,

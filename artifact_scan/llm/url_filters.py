@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from artifact_scan.llm.components import components
-from artifact_scan.llm.store import table
+from artifact_scan.llm.store import table, written
 
 #: Fixed values: (verdict, host, path).
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
@@ -74,21 +74,24 @@ def _absolute(df: DataFrame) -> DataFrame:
 
 
 def link_edges(pages: DataFrame) -> DataFrame:
-    """(a, b): the page and what its canonical link or refresh names, where it names another node."""
+    """(a, b): the page and each node that one of its canonical links or refreshes names, but itself."""
     html = F.col("html")
-    canonical = F.regexp_extract(F.regexp_extract(html, _LINK, 0), _HREF, 1)
-    refresh = F.regexp_extract(F.regexp_extract(html, _META, 0), _GOTO, 1)
-    named = pages.where(html.rlike(r"(?i)canonical|refresh")).select("url", F.explode(F.array(canonical, refresh)).alias("target"))
-    named = _absolute(named.where("target <> ''"))
-    return with_node(with_node(named, "url", "a"), "aim", "b").select("a", "b").where("a <> b")
+    named = lambda tag, attribute: F.transform(F.regexp_extract_all(html, F.lit(tag), F.lit(0)), lambda t: F.regexp_extract(t, attribute, 1))
+    both = F.concat(named(_LINK, _HREF), named(_META, _GOTO))
+    found = pages.where(html.rlike(r"(?i)canonical|refresh")).select("url", F.explode(F.array_distinct(both)).alias("target"))
+    found = _absolute(found.where("target <> ''"))
+    return with_node(with_node(found, "url", "a"), "aim", "b").select("a", "b").where("a <> b")
 
 
 def judge(pages: DataFrame, rules=RULES, redirects: DataFrame | None = None) -> DataFrame:
     """(page_id, host, path, rule, verdict), one row for each page row.
 
     ``redirects`` may add (from_url, to_url) rows.  A null url, or one without ``://``, has an
-    empty host and path, fits no rule, is no node and is allowed.  Rows that repeat a page
-    get equal verdicts; pages with equal normal forms are aliases without any edge.
+    empty host and path, fits no rule, is no node and is allowed.  Of fitting rules of equal
+    length the first in ``rules`` decides.  Every canonical link and refresh of a page counts.  Rows
+    that repeat a page get equal verdicts; pages with equal normal forms are aliases without any
+    edge; urls and pages of any length are read whole, other columns are not; an empty table
+    gives none.
     """
     edges = link_edges(pages)
     if redirects is not None:
@@ -100,20 +103,29 @@ def judge(pages: DataFrame, rules=RULES, redirects: DataFrame | None = None) ->
     seen = with_node(seen, "url", "node").drop("url")
     rule, explicit = rule_of(F.col("host"), F.col("path"), rules)
     seen = seen.withColumn("rule", rule).withColumn("explicit", explicit)
-    seen = seen.join(found, "node", "left").withColumn("alias", F.coalesce("root", "node"))
-    told = seen.where("alias is not null and explicit is not null").groupBy("alias").agg(F.max(F.col("explicit") == "allow").alias("allowed"))
+    # Pages without a node are no keys of a join; aggregates are written before they are joined, so that hot keys can be split.
+    nodes = seen.where("node is not null").join(found, "node", "left").withColumn("alias", F.coalesce("root", "node"))
+    told = written(nodes.where("explicit is not null").groupBy("alias").agg(F.max(F.col("explicit") == "allow").alias("allowed")), "urls-told")
     # Only pages without a rule need their component's decision.
-    open_ = seen.where("explicit is null").join(told, "alias", "left")
+    open_ = nodes.where("explicit is null").join(told, "alias", "left")
     columns = ["page_id", "host", "path", "rule"]
-    return open_.select(*columns, F.when(~F.col("allowed"), "block").otherwise("allow").alias("verdict")).unionByName(
-        seen.where("explicit is not null").select(*columns, F.col("explicit").alias("verdict"))
-    )
+    out = open_.select(*columns, F.when(~F.col("allowed"), "block").otherwise("allow").alias("verdict"))
+    out = out.unionByName(nodes.where("explicit is not null").select(*columns, F.col("explicit").alias("verdict")))
+    return out.unionByName(seen.where("node is null").select(*columns, F.coalesce("explicit", F.lit("allow")).alias("verdict")))
 
 
 def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
 
 
+def url_aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The filter with redirects between the given pages, which hold none of their own: chains, a tree and a ring by page id."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    to = F.when(F.col("page_id") % 5 < 2, F.floor(F.col("page_id") / 3)).when(F.col("page_id") % 5 == 2, F.col("page_id") + 5)
+    moved = pages.select(F.col("url").alias("from_url"), to.alias("to")).join(pages.select(F.col("page_id").alias("to"), F.col("url").alias("to_url")), "to")
+    return judge(pages, redirects=moved.select("from_url", "to_url"))
+
+
 def _sql_case(column: int) -> str:
     lines = []
     for decision, name, prefix in sorted(RULES, key=lambda r: -len(r[1] + r[2])):
@@ -133,21 +145,23 @@ def _quoted(pattern: str) -> str:
     return "'" + pattern.replace("'", "''") + "'"
 
 
-ORACLE_SQL = f"""
+def _sql(more: str = "") -> str:
+    return f"""
 WITH RECURSIVE cut AS (
   SELECT page_id, url, html, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages
 ), parsed AS (
   SELECT page_id, url, html, translate(regexp_extract(rest, '^[^/?#]*'), '{_UPPER}', '{_LOWER}') AS host,
          regexp_extract(regexp_replace(rest, '^[^/?#]*', ''), '^[^?#]*') AS path FROM cut
 ), named AS (
-  SELECT url, host, path, regexp_extract(regexp_extract(html, {_quoted(_LINK)}), {_quoted(_HREF)}, 1) AS target FROM parsed
+  SELECT url, host, path, regexp_extract(unnest(regexp_extract_all(html, {_quoted(_LINK)})), {_quoted(_HREF)}, 1) AS target FROM parsed
   UNION ALL
-  SELECT url, host, path, regexp_extract(regexp_extract(html, {_quoted(_META)}), {_quoted(_GOTO)}, 1) FROM parsed
+  SELECT url, host, path, regexp_extract(unnest(regexp_extract_all(html, {_quoted(_META)})), {_quoted(_GOTO)}, 1) FROM parsed
 ), aimed AS (
   SELECT url, CASE WHEN strpos(target, '://') > 0 THEN target WHEN starts_with(target, '//') THEN 'http:' || target
     WHEN starts_with(target, '/') THEN 'http://' || host || target
     ELSE 'http://' || host || regexp_replace(CASE WHEN path = '' THEN '/' ELSE path END, '[^/]*$', '') || target END AS target
   FROM named WHERE target <> ''
+  {more}
 ), edges AS (
   SELECT {_sql_node("url")} AS a, {_sql_node("target")} AS b FROM aimed
 ), both_ways AS (SELECT a, b FROM edges WHERE a <> b UNION SELECT b, a FROM edges WHERE a <> b),
@@ -164,3 +178,7 @@ ruled AS (
 SELECT page_id, host, path, rule, coalesce(explicit, CASE WHEN allowed = 0 THEN 'block' ELSE 'allow' END) AS verdict
 FROM seen LEFT JOIN told ON told.alias = seen.alias
 """
+
+
+ORACLE_SQL = _sql()
+ALIASES_SQL = _sql("UNION ALL SELECT f.url, t.url FROM pages f JOIN pages t ON t.page_id = CASE WHEN f.page_id % 5 < 2 THEN f.page_id // 3 WHEN f.page_id % 5 = 2 THEN f.page_id + 5 END")

@@ -542,6 +542,9 @@ def test_url_filters(spark):
     moved = spark.createDataFrame([("http://f.com/1", "http://a.net/x"), (None, "x")], "from_url string, to_url string")
     assert {r["page_id"]: r["verdict"] for r in url_filters.judge(pages.where("coalesce(page_id, 0) <> 9"), redirects=moved).collect()}[10] == "block"
     assert url_filters.judge(pages.where("false")).count() == 0
+    two = [(1, "http://p.com/", canonical.format("http://q.com/") + canonical.format("http://r.com/")), (2, "http://q.com/", ""), (3, "http://r.com/", ""), (4, "http://s.net/", canonical.format("http://r.com/")), (None, None, None)]
+    found = {r["page_id"]: r["verdict"] for r in url_filters.judge(spark.createDataFrame(two, "page_id long, url string, html string")).collect()}
+    assert found == {1: "block", 2: "block", 3: "block", 4: "block", None: "allow"}  # every link of a page counts
 
 
 def test_mixing(spark, docs):
