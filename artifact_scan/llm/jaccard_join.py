@@ -17,8 +17,8 @@ Classes that meet are compared by whole signatures, whose agreement estimates th
 similarity; pairs within ``SIGMAS`` standard errors of the threshold are candidates, of
 which a spanning forest is emitted.  In a crowd of more than ``BUCKET_BLOCK`` classes all are
 first compared with the least one: those very near to it leave with an edge, and by the
-triangle inequality whatever they link to gets an edge too; the rest elect again, and what
-is left after ``ELECTIONS`` is compared in blocks.
+triangle inequality whatever they link to gets an edge too.  The rest elect again while they
+are many (``BLOCKS``, at most ``ELECTIONS`` times), and what is left is compared in blocks.
 
 Exact verification takes each connected component of candidates.  Small ones are counted
 at once.  In large ones, classes at a distance of at most half the threshold's from the
@@ -36,13 +36,13 @@ from pyspark.sql import functions as F
 
 from artifact_scan.llm.components import components
 from artifact_scan.llm.groups import forest, grouped
-from artifact_scan.llm.store import maybe_among, table, written
+from artifact_scan.llm.store import broadcast_if_small, maybe_among, table, written
 from artifact_scan.llm.words import Words, inside, mix, one_blas_thread, run_hashes, slices, split, word_hashes
 
 SHINGLE, THRESHOLD = 5, 0.8
 TREES, DEPTH, RECALL, SIGMAS = 32, 8, 0.9999, 4.5
-BUCKET_BLOCK = 256  # classes compared with each other in one step
-ELECTIONS, NEAR = 3, 0.9  # of crowds beyond that, and the estimated similarity with which a class leaves them
+BUCKET_BLOCK = 512  # classes compared with each other in one step
+ELECTIONS, BLOCKS, NEAR = 8, 16, 0.9  # in crowds beyond that, while more than BLOCKS such steps' rows are left; and the estimated similarity with which a class leaves
 SET_BLOCK, CLASS_BLOCK = 1 << 17, 1024  # shingles, and classes, verified against each other in one step
 
 _U = np.uint64
@@ -124,7 +124,11 @@ def printed(docs: DataFrame, name: str = "print") -> DataFrame:
 
 
 def _sketch(docs: DataFrame, size: int) -> DataFrame:
-    """(doc_id, n_shingles, f1, f2, signature); f1 and f2 identify the set."""
+    """(doc_id, n_shingles, f1, f2, signature, short); f1 and f2 identify the set.
+
+    ``short`` has eight bits of each minimum hash, enough to compare whole signatures: different
+    hashes agree in them by chance in one of 256 places, which loses no pair.
+    """
 
     def run(batches):
         for batch in batches:
@@ -132,17 +136,17 @@ def _sketch(docs: DataFrame, size: int) -> DataFrame:
                 values, bounds = shingle_sets(split(part.column("text")))
                 n, prints = np.diff(bounds), _prints(values, bounds)
                 rows = signatures(values, bounds, size)
-                packed = pa.array([r.tobytes() for r in rows], pa.binary())
+                packed = [pa.array([r.tobytes() for r in x], pa.binary()) for x in (rows, rows.astype(np.uint8))]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array(n.astype(np.int64)), pa.array(prints[0]), pa.array(prints[1]), packed],
-                    ["doc_id", "n_shingles", "f1", "f2", "signature"],
+                    [part.column("doc_id"), pa.array(n.astype(np.int64)), pa.array(prints[0]), pa.array(prints[1]), *packed],
+                    ["doc_id", "n_shingles", "f1", "f2", "signature", "short"],
                 )
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, f1 long, f2 long, signature binary")
+    return docs.mapInArrow(run, "doc_id long, n_shingles long, f1 long, f2 long, signature binary, short binary")
 
 
-def _matrix(column: pa.Array, size: int) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, size)
+def _matrix(column: pa.Array, size: int, kind: type = np.uint8) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(-1, size)
 
 
 def _labels(classes: DataFrame, trees: int, depth: int) -> DataFrame:
@@ -153,7 +157,7 @@ def _labels(classes: DataFrame, trees: int, depth: int) -> DataFrame:
             for at in range(0, batch.num_rows, 2048):
                 part = batch.slice(at, 2048)
                 sigs = np.zeros((part.num_rows, trees, 8), ">u2")
-                sigs[:, :, :depth] = _matrix(part.column("signature"), trees * depth).reshape(-1, trees, depth)
+                sigs[:, :, :depth] = _matrix(part.column("signature"), trees * depth, np.uint16).reshape(-1, trees, depth)
                 words = sigs.view(">u8").astype(np.int64)
                 tree = np.tile(np.arange(trees, dtype=np.int32), part.num_rows)
                 ids = np.repeat(part.column("class_id").to_numpy(), trees)
@@ -258,10 +262,12 @@ def reach_of(threshold: float, size: int) -> float:
     return max(0.0, true - slack(true, size)) if true > 0 else 0.0
 
 
-def _elected(rows: DataFrame, classes: DataFrame, size: int, threshold: float) -> tuple[DataFrame, DataFrame]:
-    """(edges, rows that stay) after all rows (branch, class_id) of crowds are compared with their crowd's least class."""
-    heads = rows.groupBy("branch").agg(F.min("class_id").alias("head"))
-    heads = written(heads.join(classes.select(F.col("class_id").alias("head"), F.col("signature").alias("best")), "head"), "jaccard-heads")
+def _elected(led: DataFrame, signed: DataFrame, size: int, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """(edges, rows that stay) of crowds' rows (branch, class_id, head), each compared with its crowd's least class.
+
+    Crowds of several tries mostly have the same least class, so pairs of a class and a head are
+    taken once before signatures move.
+    """
     near, far = int(np.ceil(NEAR * size)), int(np.floor(reach_of(threshold, size) * size))
 
     def run(batches):
@@ -269,28 +275,36 @@ def _elected(rows: DataFrame, classes: DataFrame, size: int, threshold: float) -
             for at in range(0, batch.num_rows, 4096):
                 part = batch.slice(at, 4096)
                 agree = (_matrix(part.column("signature"), size) == _matrix(part.column("best"), size)).sum(1, dtype=np.int32)
-                yield pa.RecordBatch.from_arrays([part.column("branch"), part.column("class_id"), part.column("head"), pa.array(agree)], ["branch", "class_id", "head", "agree"])
+                yield pa.RecordBatch.from_arrays([part.column("class_id"), part.column("head"), pa.array(agree)], ["class_id", "head", "agree"])
 
-    both = rows.join(heads, "branch").join(classes.select("class_id", "signature"), "class_id").select("branch", "class_id", "head", "signature", "best")
-    told = written(both.mapInArrow(run, "branch long, class_id long, head long, agree int"), "jaccard-elected")
-    edges = told.where((F.col("agree") >= far) & (F.col("class_id") != F.col("head"))).select(F.col("class_id").alias("a"), F.col("head").alias("b"), "agree")
-    return edges, told.where((F.col("agree") < near) & (F.col("class_id") != F.col("head"))).select("branch", "class_id")
+    led = led.where("class_id <> head")
+    pairs = written(led.select("class_id", "head").distinct(), "jaccard-pairs")
+    best = signed.select(F.col("class_id").alias("head"), F.col("signature").alias("best"))
+    both = pairs.join(signed, "class_id").join(best.join(pairs.select("head").distinct(), "head", "left_semi"), "head").select("class_id", "head", "signature", "best")
+    told = written(both.mapInArrow(run, "class_id long, head long, agree int"), "jaccard-elected")
+    edges = told.where(F.col("agree") >= far).select(F.col("class_id").alias("a"), F.col("head").alias("b"), "agree")
+    return edges, written(led.join(told.where(F.col("agree") < near).select("class_id", "head"), ["class_id", "head"]).select("branch", "class_id"), "jaccard-stay")
 
 
-def _met(branches: DataFrame, crowd: DataFrame, classes: DataFrame, size: int, threshold: float) -> DataFrame:
-    """Candidate edges (a, b, agree) of the classes that meet in the branches of ``crowd`` (branch, n)."""
+def _met(rows: DataFrame, classes: DataFrame, size: int, threshold: float) -> DataFrame:
+    """Candidate edges (a, b, agree) of classes that meet: ``rows`` has branch, class_id, and the branch's n and head."""
     least = int(np.floor(size * (threshold - slack(threshold, size))))
-    signed = classes.select("class_id", "signature")
-    few = branches.join(crowd.where(F.col("n") <= BUCKET_BLOCK).select("branch", F.lit(1).cast("long").alias("blocks")), "branch")
+    signed = classes.select("class_id", F.col("short").alias("signature"))
+    few = rows.where(F.col("n") <= BUCKET_BLOCK).select("branch", "class_id", F.lit(1).cast("long").alias("blocks"))
     found = _candidates(_block_pairs(few, "blocks").join(signed, "class_id"), size, least)
-    rows = branches.join(crowd.where(F.col("n") > BUCKET_BLOCK).select("branch"), "branch")
-    if crowd.where(F.col("n") > BUCKET_BLOCK).isEmpty():
+    left = rows.where(F.col("n") > BUCKET_BLOCK)
+    if left.isEmpty():
         return found
     for _ in range(ELECTIONS):
-        edges, rows = _elected(rows, classes, size, threshold)
+        edges, stay = _elected(left, signed, size, threshold)
         found = found.unionByName(edges)
-    blocks = written(rows.groupBy("branch").agg(F.ceil(F.count("*") / BUCKET_BLOCK).alias("blocks")), "jaccard-blocks")
-    return found.unionByName(_candidates(_block_pairs(rows.join(blocks, "branch"), "blocks").join(signed, "class_id"), size, least))
+        heads = written(stay.groupBy("branch").agg(F.min("class_id").alias("head"), F.count("*").alias("n")).where("n > 1"), "jaccard-heads")
+        left = stay.join(heads, "branch")
+        if (heads.agg(F.max("n")).first()[0] or 0) <= BLOCKS * BUCKET_BLOCK:
+            break
+        left = written(left, "jaccard-left")
+    blocks = left.withColumn("blocks", F.ceil(F.col("n") / BUCKET_BLOCK)).drop("n", "head")
+    return found.unionByName(_candidates(_block_pairs(blocks, "blocks").join(signed, "class_id"), size, least))
 
 
 def _recall(edges: DataFrame, size: int, threshold: float, length: int, trees: int) -> float | None:
@@ -308,10 +322,12 @@ def _forest(classes: DataFrame, threshold: float, trees: int, depth: int, recall
     edges = seen = None
     for length in range(depth, shortest - 1, -1):
         branches = _branches(tries, length)
-        crowd = branches.groupBy("branch").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("class_id")).alias("x"), F.bit_xor(F.xxhash64("class_id", F.lit(1))).alias("y")).where("n > 1")
-        crowd = crowd.groupBy("n", "x", "y").agg(F.min("branch").alias("branch"))
+        told = F.xxhash64("class_id"), F.xxhash64("class_id", F.lit(1))
+        crowd = branches.groupBy("branch").agg(F.count("*").alias("n"), *(F.bit_xor(t).alias(c) for t, c in zip(told, "xy")), F.min("class_id").alias("head")).where("n > 1")
+        crowd = crowd.groupBy("n", "x", "y").agg(F.min("branch").alias("branch"), F.min("head").alias("head"))
         crowd = written(crowd if seen is None else crowd.join(seen.select("n", "x", "y"), ["n", "x", "y"], "left_anti"), "jaccard-crowds")
-        found = written(_met(branches, crowd, classes, size, threshold), "jaccard-edges")
+        rows = written(branches.join(crowd.select("branch", "n", "head"), "branch"), "jaccard-met")
+        found = written(_met(rows, classes, size, threshold), "jaccard-edges")
         edges, seen = (found, crowd) if edges is None else (edges.unionByName(found), seen.unionByName(crowd))
         if length > shortest and (_recall(edges, size, threshold, length, trees) or 0.0) >= recall:
             break
@@ -417,7 +433,7 @@ def _large(sets: DataFrame, threshold: float) -> DataFrame:
     size = lambda flag: F.greatest(F.ceil(F.coalesce(F.sum(F.when(flag, F.col("n_shingles"))), F.lit(0)) / SET_BLOCK), F.ceil(F.count_if(flag) / CLASS_BLOCK))
     sums = told.groupBy("root").agg(F.count_if("core").alias("n"), F.sum(F.when(F.col("core"), F.col("members"))).alias("all"), size(F.col("core")).alias("cores"), size(~F.col("core")).alias("rests"))
     sums = written(sums, "jaccard-sums")
-    rows = told.join(sums, "root")
+    rows = told.join(broadcast_if_small(sums), "root")
     inner = rows.where("core and n > 1").select("class_id", (F.col("n") - 1).alias("texts"), (F.col("all") - F.col("members")).alias("documents"), F.col("head").alias("peer"))
     # Blocks of the rest come first; a core block meets those only.
     own = F.pmod(F.xxhash64("class_id"), F.when(F.col("core"), F.col("cores")).otherwise(F.col("rests"))) + F.when(F.col("core"), F.col("rests")).otherwise(0)
@@ -454,7 +470,7 @@ def linked(docs: DataFrame, threshold: float = THRESHOLD, trees: int = TREES, de
     classes = named.groupBy("f1", "f2").agg(F.min("doc_id").alias("lead"), F.count("*").alias("members"))
     lead = classes.select(F.col("lead").alias("doc_id"), F.col("f1").alias("g1"), F.col("f2").alias("g2"), "members")
     classes = named.join(lead, "doc_id").where("f1 = g1 and f2 = g2").dropDuplicates(["doc_id", "f1", "f2"])
-    classes = written(classes.select(F.col("f1").alias("class_id"), F.col("doc_id").alias("lead"), "f1", "f2", "members", "n_shingles", "signature"), "jaccard-classes")
+    classes = written(classes.select(F.col("f1").alias("class_id"), F.col("doc_id").alias("lead"), "f1", "f2", "members", "n_shingles", "signature", "short"), "jaccard-classes")
 
     found = components(_forest(classes, threshold, trees, depth, recall)).withColumnRenamed("node", "class_id")
     parts = written(found.join(classes.select("class_id", "lead", "members", "n_shingles"), "class_id"), "jaccard-parts")

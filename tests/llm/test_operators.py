@@ -232,6 +232,7 @@ def test_jaccard_crowds_of_all_kinds(spark, monkeypatch):
     for block, order in ((4, 1), (4, -1), (1000, 1)):
         monkeypatch.setattr(jaccard_join, "BUCKET_BLOCK", block)
         monkeypatch.setattr(jaccard_join, "CLASS_BLOCK", 5 if block == 4 else 1000)
+        monkeypatch.setattr(jaccard_join, "BLOCKS", 2 if order == 1 else 1000)
         found = {r["doc_id"]: r for r in jaccard_join.join(spark.createDataFrame(rows[::order], DOCS)).collect()}
         assert {d: r["n_links"] for d, r in found.items()} == {d: len(links[d]) for d in root}
         assert {d: r["class_id"] for d, r in found.items()} == root
@@ -482,6 +483,7 @@ def test_sentences_in_their_contexts():
     model = toxicity.Model({b"idiot": (False, 2.0)}, -3.0, 4.0)
     e = lambda text: float(model.evidence(pa.array([text]))[0])
     assert e("idiot") == e("Idiot!") == e("kill") == e("I will kill time.") == 0
+    assert e("WHAT!! AN!! IDIOT!!") == e("what | an | idiot") == e("What an idiot") > 0
     assert e("You idiot") > e("What an idiot") > 0 and e("You are an idiot.") > e("The man is an idiot.")
     assert 0 < e("He is not an idiot.") < e("He is an idiot.")
     assert 0 < e("She said that he is an idiot.") < e("She knows that he is an idiot.")
