@@ -20,7 +20,7 @@ rows of that bin, 1 / ``BINS`` of the source, are sorted.
 from __future__ import annotations
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from artifact_scan.llm.store import broadcast_if_small, free, maybe_among, table, without, written
@@ -52,24 +52,38 @@ def sizes(docs: DataFrame) -> DataFrame:
     return docs.withColumn("row", row_key()).mapInArrow(_count, "doc_id long, source string, row long, size long")
 
 
+def _in_order(df: DataFrame, order: list[Column], sums: list[str]) -> DataFrame:
+    """``df`` with ``rank`` from 0 and, for each of ``sums``, ``<name>_before``, the sum over all earlier rows.
+
+    Rows are sorted by ranges, so that no task sees all of them; the totals of the ranges before a
+    row's own, one number a partition, are added to the running sum within it.
+    """
+    placed = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
+    placed = written(placed.withColumn("_range", F.shiftright("_at", 33)).withColumn("_one", F.lit(1).cast("long")), "in-order")
+    totals = placed.groupBy("_range").agg(*(F.sum(c).alias(c) for c in (*sums, "_one")))
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # a row a partition
+    offsets = totals.select("_range", *(F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"_{c}") for c in (*sums, "_one")))
+    inner = Window.partitionBy("_range").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    out = placed.join(F.broadcast(offsets), "_range")
+    upto = lambda c: F.col(f"_{c}") + F.coalesce(F.sum(c).over(inner), F.lit(0))
+    return out.select(*df.columns, upto("_one").alias("rank"), *(upto(c).alias(f"{c}_before") for c in sums))
+
+
 def targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS) -> DataFrame:
-    """(skey, source, source_size, target) for each source; one row a source throughout."""
+    """(skey, source, source_size, target) for each source; however many there are, no task sees them all."""
     by = sized.groupBy("skey", "source").agg(F.sum("size").alias("source_size"))
-    order = Window.orderBy(F.col("source").isNull(), F.col("source"))
-    weight = F.element_at(F.array(*[F.lit(w) for w in weights]), (F.pmod(F.row_number().over(order) - 1, F.lit(len(weights))) + 1).cast("int"))
+    name = [F.col("source").isNull(), F.col("source")]
+    by = _in_order(by, name, [])
+    weight = F.element_at(F.array(*[F.lit(w) for w in weights]), (F.pmod(F.col("rank"), F.lit(len(weights))) + 1).cast("int"))
     by = by.withColumn("weight", weight.cast("long")).withColumn("cap", F.col("source_size") * max_epochs)
-    by = by.withColumn("ratio", F.col("cap") / F.col("weight"))
-    fill = Window.orderBy("ratio", F.col("source").isNull(), "source")
-    before = fill.rowsBetween(Window.unboundedPreceding, -1)
-    every = Window.partitionBy(F.lit(0))
-    level = (F.sum("source_size").over(every) - F.coalesce(F.sum("cap").over(before), F.lit(0))) / (
-        F.sum("weight").over(every) - F.coalesce(F.sum("weight").over(before), F.lit(0))
-    )
-    by = by.withColumn("level", level).withColumn("open", F.col("ratio") > F.col("level"))
+    by = by.withColumn("ratio", F.col("cap") / F.col("weight")).drop("rank")
+    by = written(_in_order(by, [F.col("ratio"), *name], ["cap", "weight"]), "targets-levels")
+    size, weight = by.agg(F.sum("source_size"), F.sum("weight")).first()
+    level = (F.lit(size).cast("long") - F.col("cap_before")) / (F.lit(weight).cast("long") - F.col("weight_before"))
     # The first source in the order whose cap is above the level sets the level of all after it.
-    final = F.min(F.when(F.col("open"), F.struct("ratio", "level"))).over(every)["level"]
-    target = F.coalesce(F.least(F.col("cap").cast("double"), final * F.col("weight")), F.col("cap").cast("double"))
-    return by.select("skey", "source", "source_size", target.alias("target"))
+    above = by.withColumn("level", level).where(F.col("ratio") > F.col("level")).agg(F.min(F.struct("ratio", "level"))["level"]).first()[0]
+    cap = F.col("cap").cast("double")
+    return by.select("skey", "source", "source_size", F.coalesce(F.least(cap, F.lit(above).cast("double") * F.col("weight")), cap).alias("target"))
 
 
 def mix(sized: DataFrame, weighted: DataFrame | None = None, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS, bins: int = BINS) -> DataFrame:
