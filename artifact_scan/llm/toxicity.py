@@ -5,7 +5,8 @@ word stems learned from labelled rows, each with its log odds; threats, targets,
 negations and reporting words are short fixed lists.  Five transducers read a clause's
 tags and mark its insults and threats:
 
-insult     an insult is matched if it stands in a clause with other words, never alone
+insult     an insult is matched if it stands in a clause with other words, never alone; a
+           clause of one word goes on in the next, as in shouted or tabled words
 threat     a threat is matched if it has a target, never alone
 target     a target stands within ``REACH`` tokens before or after
 negation   a negation stands within ``REACH`` tokens before
@@ -201,15 +202,19 @@ class Model:
         hot = np.flatnonzero((tags == INSULT) | (tags == THREAT))
         if not len(hot):
             return out
-        # A clause ends at a mark between two tokens and at a text's end.
-        marks = np.flatnonzero(_CLAUSE[words.data])
-        clause = np.searchsorted(marks, words.starts) + words.doc() * (len(marks) + 1)
-        starts = np.flatnonzero(np.concatenate([[True], clause[1:] != clause[:-1]]))
+        # A clause ends at a mark between two tokens and at a text's end; a word between marks goes on in the next clause.
+        doc = words.doc()
+        clause = np.searchsorted(np.flatnonzero(_CLAUSE[words.data]), words.starts)
+        begins = np.concatenate([[True], (clause[1:] != clause[:-1]) | (doc[1:] != doc[:-1])])
+        starts = np.flatnonzero(begins)
+        alone = np.diff(np.append(starts, total)) == 1
+        fresh = np.concatenate([[True], ~alone[:-1] | (doc[starts[1:]] != doc[starts[1:] - 1])])
+        starts = starts[fresh]
         ends = np.append(starts[1:], total)
         read = np.unique(np.searchsorted(starts, hot, "right") - 1)
         marks = marks_of(tags, starts[read], ends[read])[hot]
         hot, marks = hot[marks & ACCOMPANIED > 0], marks[marks & ACCOMPANIED > 0]
-        np.add.at(out, (words.doc()[hot], marks & ~ACCOMPANIED), weights[hot])
+        np.add.at(out, (doc[hot], marks & ~ACCOMPANIED), weights[hot])
         return out
 
     def evidence(self, column: pa.Array) -> np.ndarray:
