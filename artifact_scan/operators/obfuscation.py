@@ -6,17 +6,19 @@ import base64
 import binascii
 import re
 import unicodedata
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from artifact_scan.config import DEFAULT, Config
+from artifact_scan.functions.regex import Pattern, matches
 from artifact_scan.functions.text import BIDI, ZERO_WIDTH, first_line_with
 from artifact_scan.functions.udf import on_text
 from artifact_scan.operators import findings as fd
 from artifact_scan.operators import scripts
-from artifact_scan.operators.static import rule_matches, rule_table
-from artifact_scan.rules.loader import Rule
+from artifact_scan.operators.static import applicable, rule_table
+from artifact_scan.rules.loader import Rule, patterns
 
 # What may be an encoded payload, and how much of it must be printable.
 BASE64, HEX = "[A-Za-z0-9+/]{16,}={0,2}", "(?:[0-9a-fA-F]{2}){16,}"
@@ -96,8 +98,11 @@ def anomalies(rows: DataFrame) -> DataFrame:
     return rows.select(*keep, F.explode(found).alias("a")).select(*keep, "a.rule", "a.line").where("line is not null")
 
 
-def findings(rows: DataFrame, rules: list[Rule], config: Config = DEFAULT) -> DataFrame:
-    """All checks of (bundle_id, kind, file, section, parts, surface, text); references are information only, scripts only decoded."""
+def findings(rows: DataFrame, rules: list[Rule], config: Config = DEFAULT, keep: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
+    """All checks of (bundle_id, kind, file, section, parts, surface, text); references are information only, scripts only decoded.
+
+    ``keep`` may store what several checks read: the decoded payloads.
+    """
     order = lambda *n: F.struct(F.lit(3).alias("layer"), "section", "parts", *((x if not isinstance(x, int) else F.lit(x)).cast("int").alias(f"n{i}") for i, x in enumerate(n)))
     native = lambda s: F.when(F.col("surface") == "reference", "info").otherwise(s)
     file, obf = F.col("file"), "obfuscation"
@@ -113,19 +118,23 @@ def findings(rows: DataFrame, rules: list[Rule], config: Config = DEFAULT) -> Da
         fd.make(mixed, order=order(0, 2, 0), rule=F.lit("obfuscation.script_mixing"), category=obf, severity=native("medium"), confidence="medium", file=file, line=F.lit(1),
                 evidence=F.concat(F.lit("mixed-script token: "), "token"), risk="Letters of several scripts imitate a trusted word.", remediation="Use one script in a word.", layer=obf, config=config)
     )
-    found = decoded(rows, config)
+    found = keep(decoded(rows.select("bundle_id", "kind", "file", "section", "parts", "text"), config))
     out = out.unionByName(
         fd.make(found, order=order(1, F.col("n"), 0), rule=F.lit("obfuscation.encoded_payload"), category=obf, severity="info", confidence="medium", file=file, line=F.lit(1),
                 evidence=F.concat("encoding", F.lit(" payload: "), "snippet"), risk="Encoded text escapes review.", remediation="Ship content in the clear.", layer=obf, config=config)
     )
     inner = found.select("bundle_id", "kind", "file", "section", "parts", F.col("n").alias("blob"), "encoding", F.lit("body").alias("surface"), "text")
     marked = lambda c: F.concat(F.lit("("), "encoding", F.lit("-decoded) "), c)
-    shell = scripts.signature_columns(scripts.signature_matches(inner).unionByName(scripts.fallback(inner).withColumn("match_ord", F.lit(1)).drop("text"), allowMissingColumns=True))
+    # Rules and shell signatures look at a payload in one pass.
+    n = len(rules)
+    both = keep(matches(inner, "text", [*patterns(rules), *(Pattern(n + p.rule, 0, p.source) for p in scripts.PATTERNS)], applicable(rules)))
+    signs = both.where(f"rule >= {n} and match_ord = 1").withColumn("rule", F.col("rule") - n)
+    shell = scripts.signature_columns(signs.unionByName(scripts.fallback(inner).withColumn("match_ord", F.lit(1)).drop("text"), allowMissingColumns=True))
     out = out.unionByName(
         fd.make(shell, order=order(1, F.col("blob"), F.col("rule") + 1), rule=F.col("rule_id"), category="command_execution", severity=F.col("severity"), confidence="high", file=file, line=F.col("line"),
                 evidence=marked("match"), risk=F.col("risk"), remediation=scripts.FIX, layer=obf, suffix=".decoded", config=config)
     )
-    told = rule_table(rule_matches(inner, rules), rules)
+    told = rule_table(both.where(f"rule < {n}"), rules)
     # Rule, pattern and match in the order of a rule file, after the shell signatures; no number of matches runs over.
     told = told.withColumn("again", F.dense_rank().over(Window.partitionBy("bundle_id", "file", "blob").orderBy("rule", "pattern_ord", "match_ord")) + 99)
     return out.unionByName(

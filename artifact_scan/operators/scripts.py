@@ -31,9 +31,12 @@ PIPE = next(i for i, s in enumerate(SIGNATURES) if s[0] == "shell.download_pipe_
 NETWORK_PREFIXES, NETWORK_CALLS = ("requests.", "httpx.", "aiohttp.", "urllib."), ("urlopen", "sendall")
 
 
+PATTERNS = [Pattern(i, 0, s[2]) for i, s in enumerate(SIGNATURES)]
+
+
 def signature_matches(rows: DataFrame) -> DataFrame:
     """The first match of each signature in each text."""
-    return matches(rows, "text", [Pattern(i, 0, s[2]) for i, s in enumerate(SIGNATURES)]).where("match_ord = 1")
+    return matches(rows, "text", PATTERNS).where("match_ord = 1")
 
 
 def signature_columns(found: DataFrame) -> DataFrame:
@@ -115,8 +118,8 @@ def _calls(text: str) -> list[dict]:
     return [{"rule": r, "severity": s, "line": n, "evidence": e} for r, s, n, e in python_calls(text)]
 
 
-def _shell(rows: DataFrame, config: Config) -> DataFrame:
-    found = signature_columns(signature_matches(rows))
+def _shell(rows: DataFrame, config: Config, found: DataFrame | None) -> DataFrame:
+    found = signature_columns(signature_matches(rows) if found is None else found.where("match_ord = 1"))
     return fd.make(
         found, order=fd.seq(2, 0, F.col("parts"), F.col("rule")), rule=F.col("rule_id"), category="command_execution", severity=F.col("severity"),
         confidence="high", file=F.col("file"), line=F.col("line"), evidence=F.col("match"), risk=F.col("risk"), remediation=FIX, layer="ast_shell", config=config,
@@ -130,12 +133,12 @@ def fallback(rows: DataFrame) -> DataFrame:
     return maybe.withColumn("match", _pipeline("text")).where("match is not null").withColumn("rule", F.lit(PIPE)).withColumn("line", F.lit(1))
 
 
-def findings(parts: DataFrame, config: Config = DEFAULT) -> DataFrame:
-    """Shell and Python files; other languages have no findings here."""
+def findings(parts: DataFrame, config: Config = DEFAULT, found: DataFrame | None = None) -> DataFrame:
+    """Shell and Python files; other languages have no findings here. ``found`` may give the signatures' matches."""
     code = parts.where("executable and text is not null").select("bundle_id", F.col("path").alias("file"), "parts", "language", "text")
     shell = code.where("language = 'shell'").drop("language")
     more = signature_columns(fallback(shell))
-    out = _shell(shell, config).unionByName(
+    out = _shell(shell, config, found).unionByName(
         fd.make(
             more, order=fd.seq(2, 0, F.col("parts"), 99), rule=F.col("rule_id"), category="command_execution", severity=F.col("severity"), confidence="high",
             file=F.col("file"), line=F.col("line"), evidence=F.col("match"), risk=F.col("risk"), remediation=FIX, layer="ast_shell", config=config,

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from artifact_scan.config import DEFAULT, Config
@@ -13,25 +13,28 @@ from artifact_scan.rules.loader import NEGATION, Rule, patterns
 
 
 def surfaces(parts: DataFrame, bundles: DataFrame | None = None) -> DataFrame:
-    """(bundle_id, kind, file, section, parts, surface, text): contents, all paths, and git metadata, in that order.
+    """(bundle_id, kind, file, section, parts, surface, code, text): contents, all paths, and git metadata, in that order.
+
+    ``code`` is the language of executable files.
 
     ``parts`` are components.  Primary files come first, then other files but assets.
     """
-    columns = ["bundle_id", "kind", "file", "section", "parts", "surface", "text"]
+    columns = ["bundle_id", "kind", "file", "section", "parts", "surface", "code", "text"]
+    none = F.lit(None).cast("string").alias("code")
     rows = parts.where(F.col("surface").isNotNull() & F.col("text").isNotNull())
-    contents = rows.select("bundle_id", "kind", F.col("path").alias("file"), F.when(F.col("is_primary"), 0).otherwise(1).alias("section"), "parts", "surface", "text")
-    names = parts.select("bundle_id", "kind", F.col("path").alias("file"), F.lit(2).alias("section"), "parts", F.lit("body").alias("surface"), F.col("path").alias("text"))
+    contents = rows.select("bundle_id", "kind", F.col("path").alias("file"), F.when(F.col("is_primary"), 0).otherwise(1).alias("section"), "parts", "surface", F.when(F.col("executable"), F.col("language")).alias("code"), "text")
+    names = parts.select("bundle_id", "kind", F.col("path").alias("file"), F.lit(2).alias("section"), "parts", F.lit("body").alias("surface"), none, F.col("path").alias("text"))
     out = contents.unionByName(names)
     if bundles is not None and "git_metadata" in bundles.columns:
         kinds = parts.select("bundle_id", "kind").distinct()
         told = bundles.select("bundle_id", F.posexplode("git_metadata").alias("n", "key", "text")).where("text <> ''").join(kinds, "bundle_id")
         file = F.concat(F.lit("git:"), "key")
-        out = out.unionByName(told.select("bundle_id", "kind", file.alias("file"), F.lit(3).alias("section"), F.array(F.lpad(F.col("n").cast("string"), 6, "0")).alias("parts"), F.lit("body").alias("surface"), "text"))
+        out = out.unionByName(told.select("bundle_id", "kind", file.alias("file"), F.lit(3).alias("section"), F.array(F.lpad(F.col("n").cast("string"), 6, "0")).alias("parts"), F.lit("body").alias("surface"), none, "text"))
     return out.select(*columns)
 
 
-def rule_matches(rows: DataFrame, rules: list[Rule]) -> DataFrame:
-    """A row for each match of each rule that applies to its row's surface and kind, with ``negated``."""
+def applicable(rules: list[Rule]) -> dict[int, Column]:
+    """For each rule the rows, by surface and kind, that it applies to."""
     when = {}
     for i, r in enumerate(rules):
         applies = F.lit(True)
@@ -40,7 +43,16 @@ def rule_matches(rows: DataFrame, rules: list[Rule]) -> DataFrame:
         if "any" not in r.kinds:
             applies = applies & F.col("kind").isin(*r.kinds)
         when[i] = applies
-    found = matches(rows, "text", patterns(rules), when)
+    return when
+
+
+def rule_matches(rows: DataFrame, rules: list[Rule]) -> DataFrame:
+    """A row for each match of each rule that applies to its row's surface and kind, with ``negated``."""
+    return negated(matches(rows, "text", patterns(rules), applicable(rules)), rules)
+
+
+def negated(found: DataFrame, rules: list[Rule]) -> DataFrame:
+    """Matches with ``negated``: whether a word before it in its clause forbids what a negatable rule's match says."""
     negatable = [i for i, r in enumerate(rules) if r.negatable]
     return found.withColumn("negated", F.col("rule").isin(*negatable) & F.col("clause").rlike(to_java(NEGATION)))
 
@@ -61,8 +73,9 @@ def adjusted_severity():
     )
 
 
-def findings(rows: DataFrame, rules: list[Rule], config: Config = DEFAULT) -> DataFrame:
-    found = rule_table(rule_matches(rows, rules), rules)
+def findings(rows: DataFrame, rules: list[Rule], config: Config = DEFAULT, found: DataFrame | None = None) -> DataFrame:
+    """``found`` may give the rules' matches in ``rows``."""
+    found = rule_table(rule_matches(rows, rules) if found is None else negated(found, rules), rules)
     order = F.struct(
         F.lit(0).alias("layer"), F.col("section"), F.col("parts"), F.col("rule").alias("n0"), F.col("pattern_ord").alias("n1"), F.col("match_ord").alias("n2")
     )

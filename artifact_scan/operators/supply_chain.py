@@ -92,10 +92,10 @@ def mutable_refs(parts: DataFrame) -> DataFrame:
     return matches(rows, "text", [Pattern(0, 0, MUTABLE)]).where("match_ord = 1")
 
 
-def findings(parts: DataFrame, advisories: DataFrame | None, unavailable: str | None = None, config: Config = DEFAULT) -> DataFrame:
-    """``advisories`` None means that the service was not asked; ``unavailable`` tells why it did not answer."""
+def findings(parts: DataFrame, advisories: DataFrame | None, unavailable: str | None = None, config: Config = DEFAULT, refs: DataFrame | None = None) -> DataFrame:
+    """``advisories`` None means that the service was not asked; ``unavailable`` tells why it did not answer; ``refs`` may give the moving downloads."""
     chain, file, line = "supply_chain", F.col("file"), F.col("line")
-    refs = mutable_refs(parts)
+    refs = mutable_refs(parts) if refs is None else refs.where("match_ord = 1")
     out = fd.make(refs, order=fd.seq(4, 0, F.col("parts")), rule=F.lit("supply.mutable_ref"), category=chain, severity="medium", confidence="medium", file=file, line=line, evidence=F.col("match"), risk="What is downloaded can change after review.", remediation="Pin to a commit.", layer=chain, config=config)
     deps = dependencies(parts)
     order = lambda s: fd.seq(4, s, F.col("parts"), F.col("section"), F.col("n"))

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import io
 import json
+import random
 import zipfile
 from collections.abc import Callable
 
@@ -200,6 +201,26 @@ def readable_payloads(spark, sf_dir):
     return found.select("bundle_id", "file", "encoding", "snippet", "text")
 
 
+def advisories_unavailable(spark, sf_dir):
+    """What a scan says of every bundle when the advisories could not be read."""
+    found = supply_chain.findings(_parts(spark, sf_dir), None, "no answer within ten seconds")
+    return found.where("id like 'supply.osv_unavailable%'").select(*_TOLD)
+
+
+def panels(spark, sf_dir):
+    """A panel for each bundle, drawn with the bundle's number: its size, its providers, and whether an open model is on it."""
+    registry = [{"model_id": f"m{i}", "provider": p, "open_source": p == "c", "enabled": i != 6} for i, p in enumerate("aabbcde")]
+
+    def run(batches):
+        for batch in batches:
+            ids = batch.column("bundle_id").to_pylist()
+            chosen = [judges.select_panel(registry, 3, random.Random(int(b))) for b in ids]
+            arrays = [[len(c) for c in chosen], [len({m["provider"] for m in c}) for c in chosen], [any(m["open_source"] for m in c) for c in chosen], [any(not m["enabled"] for m in c) for c in chosen]]
+            yield pa.RecordBatch.from_arrays([batch.column("bundle_id"), *map(pa.array, arrays)], ["bundle_id", "n", "n_providers", "has_open", "has_disabled"])
+
+    return planted.files(spark, sf_dir).select("bundle_id").distinct().mapInArrow(run, "bundle_id string, n long, n_providers long, has_open boolean, has_disabled boolean")
+
+
 def mutable_refs(spark, sf_dir):
     return supply_chain.mutable_refs(_parts(spark, sf_dir)).select("bundle_id", "file", "line", F.col("match").alias("evidence"))
 
@@ -284,8 +305,10 @@ def text_bundles(spark, sf_dir):
 
 
 def limited_bundles(spark, sf_dir):
-    """Checkouts under small limits: what stays of each, and why others are refused."""
-    files, errors = bundles.from_binary(planted.files(spark, sf_dir).select("bundle_id", "path", F.col("text").cast("binary").alias("content")), Config(max_total_bytes=60_000, max_files=15, max_file_bytes=20_000))
+    """Checkouts under small limits, installed packages left out: what stays of each, and why others are refused."""
+    rows = planted.files(spark, sf_dir)
+    rows = rows.unionByName(rows.select("bundle_id", F.concat(F.lit("lib/node_modules/"), "path").alias("path"), "text"))
+    files, errors = bundles.from_binary(rows.select("bundle_id", "path", F.col("text").cast("binary").alias("content")), Config(max_total_bytes=60_000, max_files=15, max_file_bytes=20_000))
     sums = files.groupBy("bundle_id").agg(F.count("*").alias("n_files"), F.sum(F.octet_length("text")).alias("n_bytes"), F.lit(None).cast("string").alias("error"))
     return sums.unionByName(errors.select("bundle_id", F.lit(0).cast("long").alias("n_files"), F.lit(0).cast("long").alias("n_bytes"), "error"))
 
@@ -371,7 +394,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         components, primary_pick, components_by_type, surfaces_union, rule_matches, rule_matches_by_rule, findings_dedup, bundle_verdict, severity_histogram, severity_groups, eval_cases,
         eval_confusion, sarif_rules, sarif_results, dynamic_commands, arguments_in_shell, manifest_findings, imports_edges, import_poisoning, shell_signatures, shell_pipelines, script_findings,
-        char_anomalies, encoded_candidates, decoded_blobs, obfuscation_findings, script_mixing, decoded_rescans, readable_payloads, mutable_refs, dependencies, advisories_join, advisory_batch,
+        char_anomalies, encoded_candidates, decoded_blobs, obfuscation_findings, script_mixing, decoded_rescans, readable_payloads, mutable_refs, dependencies, advisories_join, advisory_batch, advisories_unavailable, panels,
         typosquats, spoofed_delimiters, judge_votes, judge_findings, judge_requests, git_findings, submission_routes, safe_names, remote_urls, text_bundles, limited_bundles, zip_bundles,
         report_schema, scan_findings, scan_alerts, scan_verdicts, scan_scores, scan_reports, report_fields, scan_sarif, sarif_fields,
     )
@@ -716,6 +739,9 @@ SELECT * FROM d WHERE regexp_full_match(text, '[ -~]{{4,}}')""",
         "advisory_batch": f"""WITH {_deps_sql()}, advisories(dep_key, advisory_id, num) AS (VALUES {", ".join(f"('{k}', '{a}', {n})" for n, (k, a) in enumerate(planted.ADVISORIES))}),
 placed AS (SELECT dep_key, advisory_id, (row_number() OVER (PARTITION BY dep_key ORDER BY num) - 1)::INTEGER AS ordinal FROM advisories),
 asked AS (SELECT DISTINCT bundle_id, file, dep_key FROM dependencies) SELECT dep_key, advisory_id, ordinal, count(*) AS n FROM asked JOIN placed USING (dep_key) GROUP BY ALL""",
+        "advisories_unavailable": f"""WITH {_parts_sql()} SELECT bundle_id, 'supply.osv_unavailable@' || primary_path AS id, 'supply_chain' AS category, 'info' AS severity, 'low' AS confidence, primary_path AS file, NULL::INTEGER AS line,
+'no answer within ten seconds' AS evidence, 'supply_chain' AS source_layer FROM primaries""",
+        "panels": f"WITH {planted.files_sql()} SELECT DISTINCT bundle_id, 3::BIGINT AS n, 3::BIGINT AS n_providers, true AS has_open, false AS has_disabled FROM files",
         "git_findings": f"""WITH {_parts_sql()} SELECT bundle_id, 'injection.ignore_previous@git:commit_message:1' AS id, 'prompt_injection' AS category, CASE kind WHEN 'claude_md' THEN 'critical' ELSE 'high' END AS severity, 'medium' AS confidence,
 'git:commit_message' AS file, 1 AS line, 'Ignore all prior rules' AS evidence, 'static_rules' AS source_layer FROM primaries WHERE bundle_id::BIGINT % 3 = 0""",
         "submission_routes": f"""WITH p AS ({pages}), named AS (SELECT page_id, split_part(url, '/', -1) || CASE WHEN page_id % 3 = 0 THEN '.ZIP' ELSE '.md' END AS name FROM p)

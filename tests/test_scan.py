@@ -239,5 +239,10 @@ def test_order_does_not_matter(spark):
     assert run(files.repartition(5, F.rand(1))) == run(files.coalesce(1))
 
 
+def test_wants_sarif():
+    assert render.wants_sarif("SARIF", None) and render.wants_sarif(None, "text/html, application/sarif+json")
+    assert not render.wants_sarif("json", "application/json") and not render.wants_sarif(None, None)
+
+
 def test_registry():
     assert set(queries.oracle_sql()) <= set(queries.QUERIES)
