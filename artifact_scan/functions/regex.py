@@ -15,6 +15,8 @@ from functools import lru_cache
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from artifact_scan.functions.text import quoted
+
 BEGIN, END = "\ue000", "\ue001"  # private use; taken out of texts first
 _BOUNDARY = "(?:(?<=[0-9A-Za-z_])(?![0-9A-Za-z_])|(?<![0-9A-Za-z_])(?=[0-9A-Za-z_]))"
 
@@ -90,19 +92,15 @@ def lowered(text: Column) -> Column:
     return F.translate(F.lower(text), "\u017f", "s")
 
 
-def hits(text: Column, low: Column, patterns: list[Pattern], when: dict[int, Column] | None = None) -> Column:
-    """The numbers of the patterns that a text matches; ``when`` limits a rule to rows."""
+def hits(text: str, low: str, patterns: list[Pattern], when: dict[int, str] | None = None) -> Column:
+    """The numbers of the patterns that column ``text`` (``low`` in lower case) matches; ``when`` limits a rule to rows, in SQL."""
     flags = []
     for n, p in enumerate(patterns):
-        found = text.rlike(p.java)
-        some = None
-        for literal in required(p.source):
-            some = low.contains(literal) if some is None else some | low.contains(literal)
-        found = found if some is None else some & found
-        if when and p.rule in when:
-            found = when[p.rule] & found
-        flags.append(F.when(found, F.lit(n)))
-    return F.filter(F.array(*flags), lambda x: x.isNotNull())
+        tests = [when[p.rule]] if when and p.rule in when else []
+        if literals := required(p.source):
+            tests.append(" or ".join(f"contains({low}, {quoted(x)})" for x in literals))
+        flags.append(f"case when {' and '.join(f'({t})' for t in [*tests, f'rlike({text}, {quoted(p.java)})'])} then {n} end")
+    return F.expr(f"filter(array({', '.join(flags)}), x -> x is not null)")
 
 
 def _plain(piece: Column) -> Column:
@@ -140,7 +138,7 @@ def _after(pieces: str) -> Column:
     return F.slice(F.reverse(heads), 1, F.size(pieces) - 1)
 
 
-def matches(df: DataFrame, text: str, patterns: list[Pattern], when: dict[int, Column] | None = None) -> DataFrame:
+def matches(df: DataFrame, text: str, patterns: list[Pattern], when: dict[int, str] | None = None) -> DataFrame:
     """A row for each match: columns of ``df`` but the text, and rule, pattern_ord, match_ord, line, clause, line_text, match.
 
     ``clause`` is what stands before the match since the last of ``. ; : ! ?`` or line end.
@@ -148,7 +146,7 @@ def matches(df: DataFrame, text: str, patterns: list[Pattern], when: dict[int, C
     spark = df.sparkSession
     clean = F.translate(F.col(text), BEGIN + END, "")
     found = df.withColumn("_text", clean).withColumn("_low", lowered(F.col("_text")))
-    found = found.withColumn("_hits", hits(F.col("_text"), F.col("_low"), patterns, when)).drop("_low", text)
+    found = found.withColumn("_hits", hits("_text", "_low", patterns, when)).drop("_low", text)
     # The outer form, as the optimizer would compute the array once more to filter the inner one's input.
     found = found.withColumn("_hit", F.explode_outer("_hits")).drop("_hits").where("_hit is not null")
     known = spark.createDataFrame([(n, p.rule, p.ordinal, p.java) for n, p in enumerate(patterns)], "_hit int, rule int, pattern_ord int, _java string")

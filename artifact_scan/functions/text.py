@@ -13,6 +13,20 @@ BIDI = "\u202a\u202b\u202c\u202d\u202e\u2066\u2067\u2068\u2069"
 BLANK = r"[\s\x0B\x1C-\x1F\x85\xA0\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 
 
+def quoted(text: str) -> str:
+    """A string literal of Spark's SQL. Long tables and pattern lists are written as SQL: a call to the JVM for each part would cost more than the query."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def strings(values) -> Column:
+    return F.expr(f"array({', '.join(map(quoted, values))})")
+
+
+def mapping(table: dict) -> Column:
+    plain = lambda x: quoted(x) if isinstance(x, str) else f"{x}D" if isinstance(x, float) else str(x)
+    return F.expr(f"map({', '.join(plain(x) for pair in table.items() for x in pair)})")
+
+
 def strip(text: Column) -> Column:
     """Without white space, as Unicode sees it, at both ends."""
     return F.regexp_replace(text, rf"\A{BLANK}+|{BLANK}+\z", "")
@@ -29,7 +43,7 @@ def lossy(content: Column, limit: int) -> Column:
 
 
 def rank(value: Column, order: tuple[str, ...]) -> Column:
-    return F.array_position(F.array(*map(F.lit, order)), value).cast("int") - 1
+    return F.array_position(strings(order), value).cast("int") - 1
 
 
 def severity_rank(value: Column) -> Column:
@@ -42,7 +56,7 @@ def confidence_rank(value: Column) -> Column:
 
 def escalate(value: Column) -> Column:
     """The next severity; critical stays."""
-    return F.element_at(F.array(*map(F.lit, SEVERITIES)), F.least(severity_rank(value) + 2, F.lit(len(SEVERITIES))))
+    return F.element_at(strings(SEVERITIES), F.least(severity_rank(value) + 2, F.lit(len(SEVERITIES))))
 
 
 def parts(path: Column) -> Column:
@@ -56,8 +70,7 @@ def basename(path: Column) -> Column:
 def language(path: Column) -> Column:
     """By the last suffix; a name that only begins with a dot has none."""
     suffix = F.lower(F.regexp_extract(basename(path), r"[^/](\.[^./]+)\z", 1))
-    table = F.create_map(*[F.lit(x) for pair in LANGUAGES.items() for x in pair])
-    return F.try_element_at(table, suffix)
+    return F.try_element_at(mapping(LANGUAGES), suffix)
 
 
 def safe_basename(name: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from artifact_scan.config import CONFIDENCE_FACTOR, DEFAULT, SEVERITIES, SEVERITY_WEIGHT, Config
-from artifact_scan.functions.text import clip, confidence_rank, severity_rank
+from artifact_scan.functions.text import clip, confidence_rank, mapping, severity_rank
 
 COLUMNS = (
     "bundle_id", "seq", "id", "category", "severity", "confidence", "file", "line", "evidence", "risk", "remediation", "source_layer", "language", "raised_by",
@@ -57,8 +57,7 @@ def dedupe(findings: DataFrame) -> DataFrame:
 
 
 def weight(severity: Column, confidence: Column) -> Column:
-    table = lambda d: F.create_map(*[F.lit(x) for pair in d.items() for x in pair])
-    return F.element_at(table(SEVERITY_WEIGHT), severity).cast("double") * F.element_at(table(CONFIDENCE_FACTOR), confidence)
+    return F.element_at(mapping(SEVERITY_WEIGHT), severity).cast("double") * F.element_at(mapping(CONFIDENCE_FACTOR), confidence)
 
 
 def verdicts(merged: DataFrame) -> DataFrame:

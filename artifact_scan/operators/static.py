@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from artifact_scan.config import DEFAULT, Config
 from artifact_scan.functions.regex import Pattern, matches, to_java
-from artifact_scan.functions.text import escalate
+from artifact_scan.functions.text import escalate, quoted
 from artifact_scan.operators import findings as fd
 from artifact_scan.rules.loader import NEGATION, Rule, patterns
 
@@ -33,16 +33,12 @@ def surfaces(parts: DataFrame, bundles: DataFrame | None = None) -> DataFrame:
     return out.select(*columns)
 
 
-def applicable(rules: list[Rule]) -> dict[int, Column]:
-    """For each rule the rows, by surface and kind, that it applies to."""
+def applicable(rules: list[Rule]) -> dict[int, str]:
+    """For each rule the rows, by surface and kind, that it applies to, in SQL."""
     when = {}
     for i, r in enumerate(rules):
-        applies = F.lit(True)
-        if "any" not in r.surfaces:
-            applies = applies & F.col("surface").isin(*r.surfaces)
-        if "any" not in r.kinds:
-            applies = applies & F.col("kind").isin(*r.kinds)
-        when[i] = applies
+        some = [f"{c} in ({', '.join(map(quoted, values))})" for c, values in (("surface", r.surfaces), ("kind", r.kinds)) if "any" not in values]
+        when[i] = " and ".join(some) or "true"
     return when
 
 
