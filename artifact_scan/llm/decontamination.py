@@ -536,10 +536,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, max_items: int = MAX_ITE
     """(doc_id, item_id, cosine, common, lcs, answer): each text and benchmark item that stands in it.
 
     common counts the item's tokens found in order, lcs is their share, answer the share of its
-    last sentence's tokens, or of its numbers where fewer of those are there.  An item of one token
-    stands in every text with that token.  Null texts and items, and those without letters or
-    digits, match nothing; rows that repeat an id are searched each, and repeated result rows are
-    merged; empty tables give an empty result.
+    last sentence's tokens, or of its numbers where fewer of those are there; of a text's places
+    the one of the largest share counts, the first of equals.  An item of one token stands in
+    every text with that token.  Null texts and items, and those without letters or digits, match
+    nothing; texts of any length are searched whole; rows that repeat an id are searched each, and
+    repeated result rows are merged; other columns are not read; empty tables give an empty
+    result.  ``max_items`` bounds what is broadcast at a time and does not change the result but
+    for the cosines, whose space is that of a round's items.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))

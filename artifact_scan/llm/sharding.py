@@ -45,7 +45,7 @@ def place(docs: DataFrame, key: str = "doc_id", shards: int = SHARDS, size: int
     """``docs`` with ``slot`` and ``shard`` (both int), one row for each input row.
 
     Rows with equal keys share a shard; a null key is placed as the empty string is.
-    Columns of ``docs`` named slot or shard are replaced.  No shuffle: a key that holds
+    Columns of ``docs`` named slot or shard are replaced; an empty table gives none.  No shuffle: a key that holds
     a third of all rows costs no more than any other.
     """
     spark = docs.sparkSession

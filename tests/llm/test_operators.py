@@ -313,6 +313,7 @@ def test_decontamination(spark):
     rows.append((501, " ".join(text(40)) + " " + " ".join(changed[:20] + ["really"] + changed[20:]).upper(), "s"))
     rows += EDGES
     table, bench = spark.createDataFrame(rows, DOCS), spark.createDataFrame(items + [(99, None), (98, ""), (None, "x")], "item_id long, text string")
+    table, bench = table.withColumn("item_id", F.lit("clash")), bench.withColumn("doc_id", F.lit("clash")).withColumn("cosine", F.lit(1))
     found = {(r["doc_id"], r["item_id"]): r for r in decontamination.contaminated(table, bench).collect()}
     assert set(found) == {(500, 3), (501, 4)}
     assert found[500, 3]["lcs"] == 1.0 and found[501, 4]["lcs"] < 1.0
@@ -614,6 +615,14 @@ def test_sharding(spark, docs):
     assert all(r["slot"] == number("" if r["doc_id"] is None else str(r["doc_id"])) % sharding.TABLE_SIZE and r["shard"] == full[r["slot"]] for r in placed)
     with pytest.raises(ValueError):
         sharding.lookup_table(5, 100)
+    assert sharding.place(docs.where("false")).count() == 0
+
+
+def test_write_shards(spark, docs, tmp_path):
+    placed = sharding.place(docs, shards=3, size=31)
+    sharding.write_shards(placed, str(tmp_path / "out"), spread=2)
+    back = spark.read.parquet(str(tmp_path / "out"))
+    assert Counter((r["doc_id"], r["text"], r["shard"]) for r in back.collect()) == Counter((r["doc_id"], r["text"], r["shard"]) for r in placed.collect())
 
 
 def test_chat(spark):
