@@ -20,10 +20,11 @@ size is that of this file's lists, not of the data.
 
 from __future__ import annotations
 
+import re
 from functools import lru_cache
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from artifact_scan.llm.store import table
@@ -67,14 +68,16 @@ STOP = frozenset("a an the and or of in on to for by with from at as is are was
 CONFIRMED, LOST, SEED = 0.6, 0.02, 5
 
 
+WORD = r"[a-z0-9]+(?:\.[a-z0-9]+)*"  # points within a number or a name belong to it
+
+
 def words_of(text: str) -> list[str]:
-    return [w for w in "".join(c if c in "abcdefghijklmnopqrstuvwxyz0123456789." else " " for c in text.lower()).split(" ") if w.strip(".")]
+    return re.findall(WORD, text.lower())
 
 
 def _grams(words: list[str]) -> set[str]:
-    words = [w.strip(".") for w in words]
     pairs = {f"{a} {b}" for a, b in zip(words, words[1:]) if not (a in STOP and b in STOP)}
-    return {w for w in words if w and w not in STOP} | pairs
+    return {w for w in words if w not in STOP} | pairs
 
 
 def _name(rng: np.random.Generator) -> str:
@@ -172,7 +175,7 @@ def strangers() -> float:
 
 def _templates() -> dict[str, list[list[str]]]:
     """For each family the words of its templates but stop words."""
-    return {f: [sorted({w.strip(".") for w in words_of(t)} - STOP) for t in texts] for f, texts in TEMPLATES.items()}
+    return {f: [sorted(set(words_of(t)) - STOP) for t in texts] for f, texts in TEMPLATES.items()}
 
 
 def _table() -> list[tuple[str, list[float]]]:
@@ -182,28 +185,29 @@ def _table() -> list[tuple[str, list[float]]]:
     return [("", intercepts), *((g, weights.get(g, [0.0] * len(families))) for g in grams)]
 
 
-# What joins two lines: the first does not end a sentence, and neither is empty. Twice, as matches do not overlap.
-_WRAP, _JOINED = r"([^.!?:;\n\r])\r?\n([^\n\r])", "$1 $2"
+# A line end that a paragraph goes on over: the line does not end a sentence, and neither it nor the next is empty.
+_GOES_ON = r"\n(?<=[^.!?:;\n\r]\n|[^.!?:;\n\r]\r\n)(?![\n\r])"
+# The same for RE2, which does not look around: twice, as matches do not overlap.
+_WRAP = r"([^.!?:;\n\r])\r?\n([^\n\r])"
 
 
 def paragraphs(docs: DataFrame) -> DataFrame:
     """(doc_id, row, paragraph, line) of all paragraphs; ``row`` tells apart rows of one id."""
-    joined = F.regexp_replace(F.regexp_replace("text", _WRAP, _JOINED), _WRAP, _JOINED)
+    joined = F.regexp_replace("text", _GOES_ON, " ")
     return docs.where("text is not null").select("doc_id", F.xxhash64("text").alias("row"), F.posexplode(F.split(joined, "\n")).alias("paragraph", "line"))
 
 
 def _features(lines: DataFrame, grams: list[str]) -> DataFrame:
     """``grams``: the distinct n-grams of each line that are in the model; lines without any are left out."""
     single, double = [g for g in grams if g and " " not in g], [g for g in grams if " " in g]
-    clean = F.split(F.trim(F.regexp_replace(F.lower("line"), r"[^a-z0-9.]+", " ")), " ")
-    # A point within a number or a name stays, one at either end goes.
-    bare: Column = F.filter(F.transform(clean, lambda w: F.trim(w, F.lit("."))), lambda w: w != "")
-    lines = lines.withColumn("words", bare).drop("line")
-    pairs = F.zip_with(F.slice("words", 1, F.greatest(F.lit(0), F.size("words") - 1)), F.slice("words", 2, F.size("words")), lambda a, b: F.concat(a, F.lit(" "), b))
-    some = F.filter("words", lambda w: w.isin(single))
+    # Each array goes through a generator of one row: what reads a generator's column does not compute it again.
+    once = lambda df, name, array: df.select(*df.columns, F.explode_outer(F.array(array)).alias(name))
+    lines = once(lines, "words", F.regexp_extract_all(F.lower("line"), F.lit(WORD), F.lit(0))).drop("line")
     # Pairs are only made where a single word is known: every pair in the model holds one.
-    lines = lines.withColumn("some", some).where(F.size("some") > 0)
-    return lines.withColumn("grams", F.array_distinct(F.concat(F.array(F.lit("")), "some", F.filter(pairs, lambda g: g.isin(double))))).drop("words", "some")
+    lines = once(lines, "some", F.filter("words", lambda w: w.isin(single))).where(F.size("some") > 0)
+    pairs = F.zip_with(F.slice("words", 1, F.size("words") - 1), F.slice("words", 2, F.size("words")), lambda a, b: F.concat(a, F.lit(" "), b))
+    pairs = F.when(F.size("words") > 1, F.filter(pairs, lambda g: g.isin(double))).otherwise(F.array().cast("array<string>"))
+    return once(lines, "grams", F.array_distinct(F.concat(F.array(F.lit("")), "some", pairs))).drop("words", "some")
 
 
 def scan(docs: DataFrame) -> DataFrame:
@@ -259,7 +263,7 @@ templates(best, ws) AS (VALUES {templates}),
 split AS (SELECT DISTINCT doc_id, text, string_split(regexp_replace(regexp_replace(text, {wrap}), {wrap}), chr(10)) AS ls FROM documents WHERE text IS NOT NULL),
 lines AS (SELECT doc_id, text, unnest(ls) AS line, unnest(range(len(ls))) AS paragraph FROM split),
 cut AS (
-  SELECT doc_id, text, paragraph, list_filter(list_transform(string_split(trim(regexp_replace(lower(line), '[^a-z0-9.]+', ' ', 'g')), ' '), lambda w: trim(w, '.')), lambda w: w <> '') AS ws FROM lines
+  SELECT doc_id, text, paragraph, regexp_extract_all(lower(line), '{WORD}') AS ws FROM lines
 ), grams AS (
   SELECT doc_id, text, paragraph, unnest(list_distinct([''] || ws || list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1]))) AS gram FROM cut
 ), hits AS (SELECT doc_id, text, paragraph, gram, logits FROM grams JOIN lookup USING (gram)),
