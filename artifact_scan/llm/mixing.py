@@ -148,7 +148,8 @@ def mixed(docs: DataFrame, plan: DataFrame) -> DataFrame:
     named = without(named, repeated, row).unionByName(once)
     plan = plan.withColumn(whole, F.floor(F.col("taken") / F.col(size))).withColumn(part, F.col("taken") - F.col(whole) * F.col(size))
     plan = plan.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(whole) + F.when(F.col(part) > 0, 1).otherwise(0))))
-    both = named.join(plan.select(row, whole, part, copy), row)
+    # The plan has a row a document, so it is never broadcast, however small the corpus.
+    both = named.join(plan.select(row, whole, part, copy).hint("merge"), row)
     cut = F.col(copy) > F.col(whole)
     words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
     both = both.withColumn("text", F.when(cut, F.array_join(F.slice(words, 1, F.col(part).cast("int")), " ")).otherwise(F.col("text")))

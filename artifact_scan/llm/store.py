@@ -3,7 +3,7 @@
 Intermediate results that several steps read are written as Parquet below the folder
 that the cluster names in ``spark.checkpoint.dir``, which every executor sees; a lost
 executor then costs one re-read, not the lineage.  ``drop_scratch`` removes them once
-the results that read them have been written, ``drop_since`` those of one step.
+the results that read them have been written, ``drop`` those of one step.
 """
 
 from __future__ import annotations
@@ -58,20 +58,23 @@ def _delete(spark: SparkSession, path: str) -> None:
 
 def drop_scratch(spark: SparkSession) -> None:
     """Removes all intermediate tables of the session."""
-    _WRITTEN.clear()
     _delete(spark, _scratch(spark))
 
 
 def mark() -> int:
-    """How many intermediate tables there are, for ``drop_since``."""
+    """How many intermediate tables there are, for ``paths_since``."""
     return len(_WRITTEN)
 
 
-def drop_since(spark: SparkSession, since: int, keep: int = 1) -> None:
-    """Removes the intermediate tables written since ``mark()`` but the last ``keep``."""
-    for path in _WRITTEN[since : len(_WRITTEN) - keep]:
+def paths_since(since: int) -> list[str]:
+    """The intermediate tables written since ``mark()``."""
+    return _WRITTEN[since:]
+
+
+def drop(spark: SparkSession, paths: list[str]) -> None:
+    """Removes intermediate tables that nothing will read again."""
+    for path in paths:
         _delete(spark, path)
-    del _WRITTEN[since : len(_WRITTEN) - keep]
 
 
 def broadcast_if_small(df: DataFrame, rows: int = 10_000) -> DataFrame:
@@ -124,4 +127,6 @@ def without(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     marked = df.withColumn(name, cell).join(F.broadcast(used), name, "left").drop(name)
     clear = marked.where(F.col(flag).isNull()).drop(flag).select(*df.columns)
     rest = marked.where(F.col(flag)).drop(flag).select(*df.columns)
-    return clear.unionByName(rest.join(ids.select(key).distinct().hint("merge"), key, "left_anti").select(*df.columns))
+    # Not an anti join: the optimizer would take it to all rows first, before the cells have spared any.
+    found = ids.select(key).distinct().withColumn(flag, F.lit(True)).hint("merge")
+    return clear.unionByName(rest.join(found, key, "left").where(F.col(flag).isNull()).select(*df.columns))
