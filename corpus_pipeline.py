@@ -2,8 +2,9 @@
 
 Each stage takes (spark, docs, sf_dir) and returns what it keeps, with the columns of
 ``documents``; the last adds ``slot`` and ``shard``.  ``run`` writes each stage's result
-to the shared folder, reads it again as the next one's input and removes what the stage
-wrote on its way.  Empty tables give empty results of the same columns.
+to the shared folder and reads it again as the next one's input.  Whoever calls the stages
+one by one must do so too: a stage removes what the stage before it wrote on its way.
+Empty tables give empty results of the same columns.
 
 SQL cannot express the forest, the singular vectors or the signatures, so ``ORACLE_SQL``
 is None; the tests hold the stages against brute force.
@@ -11,13 +12,34 @@ is None; the tests hold the stages against brute force.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from artifact_scan.llm import decontamination, jaccard_join, mixing, quality, sharding
-from artifact_scan.llm.store import drop_since, free, mark, maybe_among, table, without, written
+from artifact_scan.llm.store import drop, free, mark, maybe_among, paths_since, table, without, written
+
+
+_LEFT: list[str] = []  # what the last stage wrote on its way
+
+
+def _stage(function: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    """The stage, which first removes what the stage before it has left."""
+
+    @wraps(function)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        drop(spark, _LEFT)
+        since = mark()
+        out = function(spark, docs, sf_dir)
+        _LEFT[:] = paths_since(since)
+        return out
+
+    return run_stage
 
 
+@_stage
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and the forest, which is fitted on this input's labelled rows.
 
@@ -30,6 +52,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return kept.select(*(F.col(clash.get(c, c)).alias(c) for c in docs.columns))
 
 
+@_stage
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of linked documents the one with the least id, once; null ids and texts without words stay.
 
@@ -46,6 +69,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return kept.unionByName(once.select(*docs.columns))
 
 
+@_stage
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which no benchmark item stands: their texts alone decide, so null and repeated ids do not matter."""
     key = free(docs, "_key")
@@ -54,12 +78,14 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return without(keyed, written(found.select(F.col("doc_id").alias(key)).distinct(), "stage-leaks"), key).select(*docs.columns)
 
 
+@_stage
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them; rows equal in id, source and text are one document that counts as often."""
     plan = mixing.mix(mixing.sizes(docs), mixing.quality_weights(table(spark, sf_dir, "labels")))
     return mixing.mixed(docs, plan)
 
 
+@_stage
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document with its slot and shard."""
     return sharding.place(docs)
@@ -78,8 +104,11 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
+    before: list[str] = []
     for k, (_, stage) in enumerate(STAGES):
+        found = stage(spark, docs, sf_dir)
         since = mark()
-        docs = written(stage(spark, docs, sf_dir), f"pipeline-{k}")
-        drop_since(spark, since - (k > 0))  # with what the stage read
+        docs = written(found, f"pipeline-{k}")
+        drop(spark, before)  # what the stage read
+        before = paths_since(since)
     return docs
